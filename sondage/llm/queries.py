@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondage.llm import corpus_encoding, score_fusion, term_distinctiveness, visual_form
+from sondage.llm import corpus_encoding, documented_functions, parse_faults, score_fusion, term_distinctiveness, visual_form
 from sondage.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,33 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return term_distinctiveness.rare_shared_terms(term_distinctiveness.term_scores(table(spark, d, "postings"), table(spark, d, "chunks")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return parse_faults.parse_faults(table(spark, d, "documents")).where("fault is not null").select("doc_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parse_faults.fault_rates(parse_faults.parse_faults(table(spark, d, "documents"), ("project",)))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return score_fusion.agreed_top(score_fusion.fuse_scores(table(spark, d, "fused_results")))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return documented_functions.documented_functions(table(spark, d, "chunks"), table(spark, d, "documents")).select("id")
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs themselves: code and documentation."""
+    keep = ("id", "language", "signature", "body")
+    return documented_functions.documented_functions(table(spark, d, "chunks"), table(spark, d, "documents"), keep)
+
+
+def p6_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions of brace languages, delimited in the files themselves."""
+    return documented_functions.delimited_functions(table(spark, d, "documents"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -28,7 +51,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.same_look_pairs(visual_form.form_keys(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p5_found, p8_ids, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p5_found, p6_found, p6_pairs, p6_functions, p8_ids, p10_found)}
 
 _CLEAN = """
 WITH rows_ AS (SELECT DISTINCT p.token, p.chunk_id, p.freq, p.project FROM postings p
