@@ -144,10 +144,10 @@ _NOTICE = re.compile(
     re.I,
 )
 _ORDER = re.compile(
-    r"^(?:pylint|eslint(?:-[\w-]+)?|noqa|type:\s*ignore|rubocop|clang-(?:format|tidy)|nolint\w*|prettier-ignore\w*|tslint|jshint|jslint|istanbul|c8 ignore|v8 ignore|go:\w+|\+build|pragma|fmt:|yapf|isort|mypy|pyright|flake8|shellcheck|nosonar|nosec|checkstyle|@ts-\w+|@formatter|@phpstan\S*|language=|-\*-|vim?:|ex:|cspell|codespell|coverage|sonar\S*|rustfmt|clippy|swiftlint|detekt|ktlint|biome-ignore|deno-lint\S*|webpack\w*:|sourcemappingurl|region\b|endregion\b|#region|#endregion|mark:|lint:|line:|cppcheck|lcov_\w+|gcov\w*|uncrustify|stylelint\S*|frozen_string_literal|encoding:|coding[:=]|!/)",
+    r"^(?:pylint|eslint(?:-[\w-]+)?|noqa|type:\s*ignore|rubocop|clang-(?:format|tidy)|nolint\w*|prettier-ignore\w*|tslint|jshint|jslint|istanbul|c8 ignore|v8 ignore|go:\w+|\+build|pragma\b\W|fmt:|yapf|isort|mypy|pyright|flake8|shellcheck|nosonar|nosec|checkstyle|@ts-\w+|@formatter|@phpstan\S*|language=|-\*-|vim?:|ex:|cspell|codespell|coverage:|sonar\S*:|rustfmt|clippy|swiftlint|detekt|ktlint|biome-ignore|deno-lint\S*|webpack\w*:|sourcemappingurl|#?(?:end)?region\s*(?::|$)|mark:|lint:|line:|cppcheck|lcov_\w+|gcov\w*|uncrustify|stylelint\S*|frozen_string_literal|encoding:|coding[:=]|!/)",
     re.I,
 )
-_PLACEHOLDER = re.compile(r"^(?:todo|fixme|xxx|tbd|tba|hack|wip|placeholder|stub|auto[- ]?generated (?:method |function )?stub|insert |add (?:a )?(?:description|documentation|comment|doc)|description (?:goes )?here|document (?:me|this)|describe (?:me|this)|write (?:me|something|docs?)|missing doc|no doc|see (?:base|super|parent|above|below|also|interface|overridden))\b", re.I)
+_PLACEHOLDER = re.compile(r"^(?:(?:todo|fixme|xxx|tbd|tba|wip)\b|hack:|placeholder\b|stub\W*$|auto[- ]?generated (?:method |function )?stub|(?:insert|add|write|put) (?:a |an |the |some )?(?:description|documentation|comment|docs?|docstring|something|text)\b|(?:description|documentation|docs?|text|comment) (?:goes |comes )?here|(?:document|describe) (?:me|this|it)\b|missing docs?|no docs?\b|(?:not|still) (?:yet )?(?:documented|to be documented))", re.I)
 _RULER = re.compile(r"^(?:[^\w\s]{3,}.*[^\w\s]{3,}|[\W_]*)$")
 _CODE_SIGN = re.compile(r"[;{}]\s*$|^\s*[{})\]]|\w\s*(?:[-+*/|&%]?=|:=|==|!=|->|=>|<-|\+\+|--)(?!\w*>)|\w\(|\w\[\w*\]|\w\.\w+\(|\w_\w|[a-z][A-Z]|::|&&|\|\||^\s*(?:#\[|@\w)")
 _CODE_WORD = re.compile(r"^\s*(?:end|else|begin|ensure|rescue(?:\s+\w+)?|try|finally|pass|break|continue|return(?:\s+[\w.]+)?|(?:if|while|elif|unless|for|switch|case|default|except|catch|with|def|class|match|when)\b[^.]*[:<>=]\s*\w*|\}?\s*else\s*\{?)\s*[:;]?\s*$")

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondage.llm import corpus_encoding, documented_functions, parse_faults, score_fusion, term_distinctiveness, visual_form
+from sondage.llm import corpus_encoding, documented_functions, handwritten, parse_faults, score_fusion, term_distinctiveness, visual_form
 from sondage.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "documents")).select("doc_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return term_distinctiveness.rare_shared_terms(term_distinctiveness.term_scores(table(spark, d, "postings"), table(spark, d, "chunks")))
 
@@ -51,7 +55,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.same_look_pairs(visual_form.form_keys(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p5_found, p6_found, p6_pairs, p6_functions, p8_ids, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_rates, p5_found, p6_found, p6_pairs, p6_functions, p8_ids, p10_found)}
 
 _CLEAN = """
 WITH rows_ AS (SELECT DISTINCT p.token, p.chunk_id, p.freq, p.project FROM postings p
