@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondage.llm import corpus_encoding, documented_functions, handwritten, parse_faults, score_fusion, term_distinctiveness, vector_neighbours, visual_form
+from sondage.llm import corpus_encoding, documented_functions, handwritten, parse_faults, score_fusion, source_mixing, term_distinctiveness, vector_neighbours, visual_form
 from sondage.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,11 +55,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_encoding.encode_corpus(table(spark, d, "documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return source_mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return source_mixing.shares_reached(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.same_look_pairs(visual_form.form_keys(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_rates, p5_found, p6_found, p6_pairs, p6_functions, p7_found, p8_ids, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_rates, p5_found, p6_found, p6_pairs, p6_functions, p7_found, p8_ids, p9_mix, p9_shares, p10_found)}
 
 _CLEAN = """
 WITH rows_ AS (SELECT DISTINCT p.token, p.chunk_id, p.freq, p.project FROM postings p
