@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sondage.llm.lexers import LEXERS, Lexed, extension
+from sondage.functions.lexers import LEXERS, Lexed, extension
 from sondage.llm.visual_form import one_form
 
 #: Languages whose comments are looked for.

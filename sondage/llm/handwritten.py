@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.llm.lexers import LEXERS, LITERAL, Lexed, extension
+from sondage.functions.lexers import LEXERS, LITERAL, Lexed, extension
 from sondage.llm.visual_form import one_form
 from sondage.storage import written
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.llm.lexers import Lexed, extension, unbalanced
+from sondage.functions.lexers import Lexed, extension, unbalanced
 
 #: Extension to the name of its language.
 LANGUAGES = {"py": "python", "rs": "rust", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "c": "c", "cpp": "cpp", "rb": "ruby", "json": "json", "toml": "toml", "css": "css"}

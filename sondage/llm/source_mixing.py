@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm.corpus_encoding import NAME, TOKENIZERS, count_tokens
-from sondage.llm.lexers import extension
+from sondage.functions.lexers import extension
 from sondage.storage import written
 
 #: Bound of the labelled rows the classifier is fitted on, and its hashed features.
