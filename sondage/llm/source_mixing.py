@@ -86,12 +86,21 @@ def _hints_of(rows: list[list[str | None]]) -> list[list[str | None]]:
     return [[lang and lang.lower(), project, extension(path)] for lang, project, path in rows]
 
 
+def _bounded_sample(rows: DataFrame):
+    """At most SAMPLE rows, the same whatever the partitions: a cut of the id's hash leaves few more than needed, so that
+    the tasks together send the driver no more than that."""
+    n = rows.count()
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    cut = int(min(1.0, 1.2 * SAMPLE / max(n, 1)) * (1 << 40))
+    return rows.where(hashed < cut).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toPandas()
+
+
 def posteriors(documents: DataFrame, names: list[str], prior: list[float]) -> DataFrame:
     """(doc_id, posterior) of the documents without a source."""
     label = source_name(F.col("source"))
     columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), *[c.alias(f"h{i}") for i, c in enumerate(_hint_columns(documents))]]
     known = documents.where(label.isin(names) & F.col("text").isNotNull())
-    sample = known.select(*columns, label.alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toPandas() if names else None
+    sample = _bounded_sample(known.select(*columns, label.alias("label"))) if names else None
     if sample is None or sample.empty:
         model = None
     else:
