@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TOP_K = 20
 
@@ -55,7 +56,7 @@ def search_vector(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K
         terms = F.array(*[F.lit(x) for x in q])
         own = F.lit(1.0) if unit else norm(v)
         score = F.when((F.size(v) == len(q)) & (own > 0), dot(v, terms) / F.when(own > 0, own * F.lit(length))).otherwise(0.0)
-    best = vectors.select(F.col(id_column).alias("chunk_id"), score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k)
+    best = vectors.select(F.col(id_column).alias("chunk_id"), F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k)
     return best.where(F.col("score") >= threshold)
 
 
@@ -97,7 +98,5 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K, b
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         return source.sparkSession.createDataFrame([], "query_id bigint, chunk_id bigint, score double")
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return out.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top_k).drop("r")
