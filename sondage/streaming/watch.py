@@ -72,10 +72,11 @@ def _read_files(paths: DataFrame) -> DataFrame:
                 try:
                     with open(bare, "rb") as f:
                         content = f.read()
-                    rows.append((path, pd.Timestamp(os.path.getmtime(bare), unit="s", tz="UTC"), len(content), content))
+                    rows.append((path, pd.Timestamp(int(os.path.getmtime(bare) * 1_000_000), unit="us", tz="UTC").as_unit("us"), len(content), content))
                 except OSError:
                     continue
-            yield pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+            out = pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+            yield out.astype({"modificationTime": "datetime64[us, UTC]"})
 
     return paths.mapInPandas(run, "path string, modificationTime timestamp, length bigint, content binary")
 
