@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sondage.llm import corpus_encoding, documented_functions, handwritten, parse_faults, score_fusion, source_mixing, term_distinctiveness, vector_neighbours, visual_form
 from sondage.storage import table
@@ -20,6 +21,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return term_distinctiveness.rare_shared_terms(term_distinctiveness.term_scores(table(spark, d, "postings"), table(spark, d, "chunks")))
 
 
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of every chunk with its score."""
+    scores = term_distinctiveness.term_scores(table(spark, d, "postings"), table(spark, d, "chunks"))
+    return scores.select("chunk_id", "token", "freq", "df", F.round("llr", 4).alias("llr"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return parse_faults.parse_faults(table(spark, d, "documents")).where("fault is not null").select("doc_id")
 
@@ -32,6 +39,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return score_fusion.agreed_top(score_fusion.fuse_scores(table(spark, d, "fused_results")))
 
 
+def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The fused order of every query."""
+    return score_fusion.fuse_scores(table(spark, d, "fused_results")).select("query_id", "chunk_id", F.round("fused", 6).alias("fused"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return documented_functions.documented_functions(table(spark, d, "chunks"), table(spark, d, "documents")).select("id")
 
@@ -51,6 +63,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return vector_neighbours.similar_pairs(table(spark, d, "vectors"))
 
 
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar others of every fiftieth row, against all rows, by walking the graph."""
+    return vector_neighbours.neighbours(table(spark, d, "vectors"), k=5, every=50)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -67,7 +84,17 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.same_look_pairs(visual_form.form_keys(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_rates, p5_found, p6_found, p6_pairs, p6_functions, p7_found, p8_ids, p9_mix, p9_shares, p10_found)}
+def p10_forms(spark: SparkSession, d: str) -> DataFrame:
+    """All texts in their consistent form."""
+    return visual_form.consistent_texts(table(spark, d, "documents"))
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why a file is no hand-written source."""
+    return handwritten.not_handwritten(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_scores, p3_found, p3_rates, p5_found, p5_ranking, p6_found, p6_pairs, p6_functions, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
 
 _CLEAN = """
 WITH rows_ AS (SELECT DISTINCT p.token, p.chunk_id, p.freq, p.project FROM postings p
@@ -76,7 +103,22 @@ terms AS (SELECT chunk_id, token, CAST(sum(freq) AS BIGINT) AS freq FROM rows_ G
 totals AS (SELECT token, count(*) AS df, CAST(sum(freq) AS BIGINT) AS cf FROM terms GROUP BY ALL)
 """
 
+_CELL = "CASE WHEN {0} > 0 THEN {0} * ln({0} * t.n / ({1} * {2})) ELSE 0 END"
+_G2 = " + ".join(_CELL.format(*x) for x in (("a", "r", "c"), ("(r - a)", "r", "(t.n - c)"), ("(c - a)", "(t.n - r)", "c"), ("(t.n - r - c + a)", "(t.n - r)", "(t.n - c)")))
+
 SQL: dict[str, str] = {
+    "p2_scores": _CLEAN + f""", x AS (SELECT chunk_id, token, freq, df, freq::DOUBLE AS a, sum(freq) OVER (PARTITION BY chunk_id)::DOUBLE AS r, cf::DOUBLE AS c FROM terms JOIN totals USING (token)),
+t AS (SELECT sum(freq)::DOUBLE AS n FROM terms)
+SELECT chunk_id, token, freq, df, round(CASE WHEN a * t.n >= r * c THEN 1 ELSE -1 END * 2.0 * ({_G2}), 4) AS llr FROM x, t""",
+    "p5_ranking": """
+WITH once AS (SELECT query_id, chunk_id, unnest([{k: 0, s: a}, {k: 1, s: b}, {k: 2, s: c}], recursive := true) FROM (SELECT query_id, chunk_id,
+    max(CASE WHEN NOT isnan(text_score) THEN text_score END) AS a, max(CASE WHEN NOT isnan(semantic_score) THEN semantic_score END) AS b,
+    max(CASE WHEN NOT isnan(ast_score) THEN ast_score END) AS c FROM fused_results GROUP BY ALL)),
+m AS (SELECT query_id, k, median(s) AS mid FROM once GROUP BY ALL),
+o AS (SELECT *, abs(s - mid) AS off FROM once JOIN m USING (query_id, k)),
+d AS (SELECT query_id, k, median(off) AS mad, avg(off) AS mean_off FROM o GROUP BY ALL),
+z AS (SELECT query_id, chunk_id, CASE WHEN s IS NULL THEN -12.0 WHEN mad > 0 THEN (s - mid) / (mad * 1.4826) WHEN mean_off > 0 THEN (s - mid) / (mean_off * 1.2533) ELSE 0 END AS z FROM o JOIN d USING (query_id, k))
+SELECT query_id, chunk_id, round(exp(sum(-ln(1 + exp(-greatest(-12.0, least(12.0, z)))) / 3)), 6) AS fused FROM z GROUP BY ALL""",
     "p2_found": _CLEAN + "SELECT chunk_id, token FROM terms JOIN totals USING (token) WHERE freq >= 3 AND df BETWEEN 2 AND 6",
     "p5_found": """
 WITH once AS (SELECT query_id, chunk_id,

@@ -2,7 +2,7 @@ r"""Most similar vectors for every vector: NN-descent on Spark joins, and greedy
 
 Vectors are held as 64-byte codes (one signed byte an element), equal codes as one node with its members. A first graph
 comes from trees of random hyperplanes: per tree every node gets a code of signs, all nodes are range partitioned by
-tree and code, and runs of ``BLOCK`` neighbours in that order are compared with one another. Runs have a fixed length, so
+tree and code, and runs of ``block`` neighbours in that order are compared with one another. Runs have a fixed length, so
 no bucket is ever too large, whatever the vectors are. Rounds of NN-descent follow: every node sends its vector to the
 nodes it is linked with (one join), each node compares what it got (neighbours of neighbours), and better links replace
 worse ones (one aggregation), until few change. Reported similarities are computed from the vectors themselves.
@@ -15,18 +15,37 @@ angle; ties are ordered by id; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sondage.storage import written
 
-#: Trees of the first graph, rows of a run, bits of a code, links a node keeps, links a tree proposes.
-TREES, BLOCK, BITS, KEEP, PROPOSE = 10, 1024, 40, 8, 4
-#: Links of each direction a node is compared over in a round; most rounds; changed share of links that ends them.
-SPREAD, ROUNDS, SETTLED = 5, 2, 0.002
+#: Bits of a sign code.
+BITS = 40
+
+
+@dataclass(frozen=True)
+class Shape:
+    """How a graph is built: trees of the first graph, rows of a run, links a tree proposes, links a node keeps, links of
+    each direction a node is compared over in a round, most rounds, and the changed share of links that ends them."""
+
+    trees: int = 10
+    block: int = 1024
+    propose: int = 4
+    keep: int = 8
+    spread: int = 5
+    rounds: int = 2
+    settled: float = 0.002
+
+
+#: For pairs of high similarity, and for neighbours at any similarity.
+PAIRS, SEARCH = Shape(), Shape(trees=12, propose=8, keep=20, spread=10, rounds=4, settled=0.01)
 _LINK = np.dtype([("id", "<i8"), ("sim", "<f4")])
 SEED = 20_240
 
@@ -84,14 +103,16 @@ def _best(sims: np.ndarray, most: int) -> np.ndarray:
     return np.argpartition(sims, sims.shape[1] - most, axis=1)[:, -most:]
 
 
-def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in (tree, code) order: the best links inside each run of BLOCK rows, packed per node."""
+def _compare_runs(shape: Shape, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in (tree, code) order: the best links inside each run of rows, packed per node."""
+
+    block = shape.block
 
     def links(ids: np.ndarray, q: list[bytes]) -> pa.RecordBatch:
         unit = _unit(q)
         sims = unit @ unit.T
         np.fill_diagonal(sims, -2)
-        best = _best(sims, PROPOSE)
+        best = _best(sims, shape.propose)
         out = np.empty(best.shape, _LINK)
         out["id"], out["sim"] = ids[best], np.take_along_axis(sims, best, 1)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r.tobytes() for r in out], pa.binary())], names=["id", "links"])
@@ -100,14 +121,14 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         trees, ids = np.concatenate([trees, b.column(0).to_numpy()]), np.concatenate([ids, b.column(2).to_numpy()])
         q += b.column(3).to_pylist()
-        while len(ids) >= 2 * BLOCK:
-            cut = BLOCK if trees[0] == trees[BLOCK - 1] else int(np.searchsorted(trees, trees[0], "right"))
+        while len(ids) >= 2 * block:
+            cut = block if trees[0] == trees[block - 1] else int(np.searchsorted(trees, trees[0], "right"))
             if cut > 1:
                 yield links(ids[:cut], q[:cut])
             trees, ids, q = trees[cut:], ids[cut:], q[cut:]
     while len(ids):
         cut = int(np.searchsorted(trees, trees[0], "right"))
-        cut = cut if cut <= 1.5 * BLOCK else BLOCK
+        cut = cut if cut <= 1.5 * block else block
         if cut > 1:
             yield links(ids[:cut], q[:cut])
         trees, ids, q = trees[cut:], ids[cut:], q[cut:]
@@ -137,8 +158,8 @@ def _by_node(batches: Iterator[pa.RecordBatch], column: int = 0, at_least: int =
         yield pa.Table.from_batches(held)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, q, links, fresh) sorted by id: one row per id with its q and its KEEP best links; how many are new."""
+def _merge(keep_best: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, q, links, fresh) sorted by id: one row per id with its q and its best links; how many are new."""
     for t in _by_node(batches):
         ids = t.column(0).to_numpy()
         q, packed = t.column(1).to_pylist(), t.column(2).to_pylist()
@@ -156,7 +177,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, link, new = node[order], link[order], new[order]
         starts = _runs_of(node)
         rank = np.arange(len(node)) - np.repeat(starts[:-1], np.diff(starts)) if len(node) else np.empty(0, int)
-        node, link, new = node[rank < KEEP], link[rank < KEEP], new[rank < KEEP]
+        node, link, new = node[rank < keep_best], link[rank < keep_best], new[rank < keep_best]
         where = {i: x for i, x in zip(ids.tolist(), q) if x is not None}
         out_ids = np.array(sorted(where), np.int64)
         a, z = np.searchsorted(node, out_ids, "left"), np.searchsorted(node, out_ids, "right")
@@ -169,25 +190,25 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _GRAPH = "id bigint, q binary, links binary, fresh int"
 
 
-def _merged(nodes: DataFrame, proposals: DataFrame, old: bool) -> DataFrame:
+def _merged(nodes: DataFrame, proposals: DataFrame, old: bool, shape: Shape) -> DataFrame:
     mine = nodes.select("id", "q", F.col("links") if old else F.lit(None).cast("binary").alias("links"), F.lit(0).alias("fresh"))
     both = mine.unionByName(proposals.select("id", F.lit(None).cast("binary").alias("q"), "links", F.lit(1).alias("fresh")))
-    return both.repartition("id").sortWithinPartitions("id").mapInArrow(_merge, _GRAPH)
+    return both.repartition("id").sortWithinPartitions("id").mapInArrow(partial(_merge, shape.keep), _GRAPH)
 
 
-def _links_both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, member) for the SPREAD best links of each node, in both directions."""
+def _links_both_ways(spread: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, member) for the ``spread`` best links of each node, in both directions."""
     for b in batches:
         ids, packed = b.column(0).to_numpy(), b.column(1).to_pylist()
-        cut = [x[: SPREAD * _LINK.itemsize] for x in packed]
+        cut = [x[: spread * _LINK.itemsize] for x in packed]
         to = np.frombuffer(b"".join(cut), _LINK)
         of = np.repeat(ids, [len(x) // _LINK.itemsize for x in cut])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([of, to["id"]])), pa.array(np.concatenate([to["id"], of])), pa.array(np.concatenate([to["sim"]] * 2))], names=["node", "member", "sim"])
 
 
-def _compare_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_members(spread: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, member, sim, q, worst) sorted by node and falling sim: links between members that beat a member's worst."""
-    most = 2 * SPREAD
+    most = 2 * spread
     for t in _by_node(batches):
         node, member = t.column(0).to_numpy(), t.column(1).to_numpy()
         unit, worst = _unit(t.column(3).to_pylist()), t.column(4).to_numpy()
@@ -216,32 +237,32 @@ def _compare_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(a[at[:-1]] if len(a) else a), pa.array([link[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["id", "links"])
 
 
-def _with_worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_worst(keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        worst = [float(np.frombuffer(x, _LINK)["sim"][-1]) if x and len(x) == KEEP * _LINK.itemsize else -2.0 for x in b.column(2).to_pylist()]
+        worst = [float(np.frombuffer(x, _LINK)["sim"][-1]) if x and len(x) == keep * _LINK.itemsize else -2.0 for x in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(worst, pa.float32())], names=["member", "q", "worst"])
 
 
-def descend(graph: DataFrame) -> DataFrame:
+def descend(graph: DataFrame, shape: Shape = PAIRS) -> DataFrame:
     """One round of NN-descent: two joins' worth of shuffles, one for the vectors sent and one for the links kept."""
-    links = graph.select("id", "links").mapInArrow(_links_both_ways, "node bigint, member bigint, sim float").dropDuplicates(["node", "member"])
-    vectors = graph.select("id", "q", "links").mapInArrow(_with_worst, "member bigint, q binary, worst float")
+    links = graph.select("id", "links").mapInArrow(partial(_links_both_ways, shape.spread), "node bigint, member bigint, sim float").dropDuplicates(["node", "member"])
+    vectors = graph.select("id", "q", "links").mapInArrow(partial(_with_worst, shape.keep), "member bigint, q binary, worst float")
     sent = links.join(vectors, "member").select("node", "member", "sim", "q", "worst")
     ordered = sent.repartition("node").sortWithinPartitions("node", F.desc("sim"), "member")
-    return _merged(graph, ordered.mapInArrow(_compare_members, "id bigint, links binary"), old=True)
+    return _merged(graph, ordered.mapInArrow(partial(_compare_members, shape.spread), "id bigint, links binary"), old=True, shape=shape)
 
 
-def build_graph(rows: DataFrame, trees: int = TREES, rounds: int = ROUNDS, dim: int = 64) -> tuple[DataFrame, DataFrame]:
+def build_graph(rows: DataFrame, shape: Shape = PAIRS, dim: int = 64) -> tuple[DataFrame, DataFrame]:
     """The graph (id, q, links, fresh) over nodes of different codes, and members (id, node)."""
     codes = written(coded(rows), "codes")
     nodes = codes.groupBy("q").agg(F.min("id").alias("id")).select("id", "q")
     members = codes.join(nodes.withColumnRenamed("id", "node"), "q").select("id", "node")
-    in_trees = _in_trees(written(nodes, "nodes"), trees, dim).repartitionByRange("tree", "code", "id").sortWithinPartitions("tree", "code", "id")
-    graph = written(_merged(nodes, in_trees.mapInArrow(_compare_runs, "id bigint, links binary"), old=False), "graph")
-    for _ in range(rounds):
-        graph = written(descend(graph), "graph")
+    in_trees = _in_trees(written(nodes, "nodes"), shape.trees, dim).repartitionByRange("tree", "code", "id").sortWithinPartitions("tree", "code", "id")
+    graph = written(_merged(nodes, in_trees.mapInArrow(partial(_compare_runs, shape), "id bigint, links binary"), old=False, shape=shape), "graph")
+    for _ in range(shape.rounds):
+        graph = written(descend(graph, shape), "graph")
         state = graph.agg(F.sum("fresh").alias("fresh"), F.count(F.lit(1)).alias("n")).first()
-        if (state.fresh or 0) <= SETTLED * KEEP * (state.n or 0):
+        if (state.fresh or 0) <= shape.settled * shape.keep * (state.n or 0):
             break
     return graph, members
 
@@ -287,3 +308,55 @@ def similar_pairs(vectors: DataFrame, least: float = 0.90, id_column: str = "chu
     inside = one.join(shared, "x", "left_semi").join(two.withColumnRenamed("y", "x"), "x").where("p < q").select("p", "q")
     pairs = across.unionByName(inside).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     return _scored(pairs, rows).where(F.col("cosine") >= least).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def _sims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query, node, sim) of rows (query, node, code of the query, code of the node)."""
+    for b in batches:
+        if b.num_rows:
+            sims = np.einsum("ij,ij->i", _unit(b.column(2).to_pylist()), _unit(b.column(3).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims)], names=["query", "node", "sim"])
+
+
+def greedy_search(graph: DataFrame, queries: DataFrame, beam: int = 48, hops: int = 3) -> DataFrame:
+    """(query, node, sim): the ``beam`` best nodes found for queries (query, q), by walking the graph.
+
+    Every hop opens the nodes of the beam that were not opened yet, all queries at once: one join with the links, one with
+    the codes, and a top-k per query, of which each task sends on no more than the beam.
+    """
+    links = edges(graph).select(F.col("id").alias("node"), "other")
+    codes = graph.select(F.col("id").alias("node"), F.col("q").alias("code"))
+    best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(codes, "node").join(queries, "query").select("query", "node", "q", "code")
+        return rows.mapInArrow(_sims, "query bigint, node bigint, sim float")
+
+    start = queries.select("query", F.col("query").alias("node")).join(graph.select(F.col("id").alias("node")), "node", "left_semi")
+    found = written(scored(start).withColumn("opened", F.lit(False)), "beam")
+    for _ in range(hops + 1):
+        ahead = found.where("not opened").join(links, "node").select("query", F.col("other").alias("node")).distinct()
+        fresh = scored(ahead.join(found.select("query", "node"), ["query", "node"], "left_anti")).withColumn("opened", F.lit(False))
+        both = found.withColumn("opened", F.lit(True)).unionByName(fresh)
+        found = written(both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"), "beam")
+    return found.select("query", "node", "sim")
+
+
+def neighbours(vectors: DataFrame, k: int = 5, every: int = 1, shape: Shape = SEARCH, id_column: str = "chunk_id", vector_column: str = "embedding", dim: int = 64) -> DataFrame:
+    """(chunk_id, other, cosine): the k most similar others of every row, or of rows whose id is divisible by ``every``.
+
+    The graph holds all rows. Members of a node are put in after the walk, and similarities computed anew.
+    """
+    rows = written(usable(vectors, id_column, vector_column, dim), "vectors")
+    graph, members = build_graph(rows, shape, dim)
+    members = written(members, "members")
+    asked = members.where(F.col("id") % every == 0)
+    queries = graph.join(asked.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query"), "q")
+    near = greedy_search(graph, written(queries, "queries"))
+    pairs = asked.select(F.col("id").alias("a"), F.col("node").alias("query")).join(near, "query")
+    pairs = pairs.join(members.select(F.col("id").alias("b"), "node"), "node").where("a != b").select("a", "b", "sim")
+    order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    pairs = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * k).select("a", "b")
+    last = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    out = _scored(pairs, rows).withColumn("r", F.row_number().over(last)).where(F.col("r") <= k)
+    return out.select(F.col("a").alias("chunk_id"), F.col("b").alias("other"), F.round("cosine", 6).alias("cosine"))
