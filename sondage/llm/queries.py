@@ -24,7 +24,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every term of every chunk with its score."""
     scores = term_distinctiveness.term_scores(table(spark, d, "postings"), table(spark, d, "chunks"))
-    return scores.select("chunk_id", "token", "freq", "df", F.round("llr", 4).alias("llr"))
+    llr = F.round("llr", 4)
+    return scores.select("chunk_id", "token", "freq", "df", F.when(llr != 0, llr).otherwise(0.0).alias("llr"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +110,7 @@ _G2 = " + ".join(_CELL.format(*x) for x in (("a", "r", "c"), ("(r - a)", "r", "(
 SQL: dict[str, str] = {
     "p2_scores": _CLEAN + f""", x AS (SELECT chunk_id, token, freq, df, freq::DOUBLE AS a, sum(freq) OVER (PARTITION BY chunk_id)::DOUBLE AS r, cf::DOUBLE AS c FROM terms JOIN totals USING (token)),
 t AS (SELECT sum(freq)::DOUBLE AS n FROM terms)
-SELECT chunk_id, token, freq, df, round(CASE WHEN a * t.n >= r * c THEN 1 ELSE -1 END * 2.0 * ({_G2}), 4) AS llr FROM x, t""",
+SELECT chunk_id, token, freq, df, round(CASE WHEN a * t.n >= r * c THEN 1 ELSE -1 END * 2.0 * ({_G2}), 4) + 0.0 AS llr FROM x, t""",
     "p5_ranking": """
 WITH once AS (SELECT query_id, chunk_id, unnest([{k: 0, s: a}, {k: 1, s: b}, {k: 2, s: c}], recursive := true) FROM (SELECT query_id, chunk_id,
     max(CASE WHEN NOT isnan(text_score) THEN text_score END) AS a, max(CASE WHEN NOT isnan(semantic_score) THEN semantic_score END) AS b,
