@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from sondage.operators import change_capture, chunking, fusion, incremental, pat
 from sondage.operators.embedding import DummyEmbedder, embed
 from sondage.plans.search import Mode, fused_hits, with_chunks
 from sondage.sources.scan import latest_entries
-from sondage.storage import shared_dir, table
+from sondage.storage import scratch, table
 from sondage.streaming.watch import last_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,7 +254,7 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     states = change_capture.valid_states(table(spark, d, "file_state"), table(spark, d, "index_runs"))
-    log = change_capture.ChangeLog(spark, f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}")
+    log = change_capture.ChangeLog(spark, scratch(spark, "changes"))
     return log.run(lambda: change_capture.detect(table(spark, d, "documents"), states)).select("path", "status")
 
 
