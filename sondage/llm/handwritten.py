@@ -31,7 +31,7 @@ GENERATED_DIRECTORIES = "generated __generated__ _generated autogen auto-generat
 GENERATED_NAMES = [
     r"[._-]min\.\w+$", r"[._-]bundle\.\w+$", r"^bundle[._-][0-9a-z]+\.(?:js|css)$", r"\.[0-9a-z]{5,32}\.chunk\.js$", r"^chunk[._-][0-9a-f]{5,}\.js$",
     r"\.pb\.\w+$", r"\.pb\.cc\.\w+$", r"\.pb-c\.[ch]$", r"[._]pb2?(?:_grpc)?\.(?:py|pyi|rb|js|ts|d\.ts)$", r"OuterClass(?:_generated)?\.java$", r"_grpc\.\w+$",
-    r"[._-](?:generated|autogen|auto_generated|autogenerated|gen)\.\w+$", r"^(?:zz_generated|generated)[._-][^/]*_?\w*\.go$", r"^zz_generated", r"\.g\.\w+$", r"_bindgen\.rs$", r"\.tab\.[ch](?:c|pp|xx)?$", r"^lex\.\w+\.c$", r"\.designer\.\w+$", r"_string\.go$",
+    r"[._-](?:generated|autogen|auto_generated|autogenerated|gen)\.\w+$", r"^(?:zz_generated|generated)[._-][^/]*_?\w*\.go$", r"^zz_generated", r"\.g\.\w+$", r"_bindgen\.rs$", r"\.tab\.[ch](?:c|pp|xx)?$", r"^lex\.\w+\.c$", r"^(?:moc|qrc)_\w+\.(?:cpp|cc|cxx)$", r"^ui_\w+\.h$", r"\.designer\.\w+$", r"_string\.go$",
     r"^(?:package-lock|npm-shrinkwrap|composer\.lock|packages\.lock)\.json$", r"^(?:yarn|pnpm-lock|Cargo|poetry|Pipfile|Gemfile|deps|uv|pdm|flake|mix)\.lock(?:\.\w+)?$", r"\.lock\.(?:toml|json|yaml)$", r"-lock\.(?:json|yaml|toml)$",
 ]
 _DIRECTORY = re.compile("(?:^|/)(?:" + "|".join(map(re.escape, [*VENDORED_DIRECTORIES, *GENERATED_DIRECTORIES])) + ")/", re.I)
