@@ -60,6 +60,38 @@ def search_vector(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K
     return best.where(F.col("score") >= threshold)
 
 
+def lsh_model(vectors: DataFrame, tables: int = 12, bucket: float = 0.8, seed: int = 7, vector_column: str = "embedding"):
+    """A random-projection index over usable vectors of unit length: (model, hashed rows with id columns kept)."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    length = norm(F.col(vector_column))
+    rows = normalised(vectors.where(F.col(vector_column).isNotNull() & (length > 0) & ~F.isnan(length)), vector_column)
+    rows = rows.withColumn("features", array_to_vector(F.col(vector_column).cast("array<double>")))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
+    return model, model.transform(rows)
+
+
+def search_lsh(model, hashed: DataFrame, query: Sequence[float], top_k: int = TOP_K, threshold: float = 0.0, id_column: str = "chunk_id") -> DataFrame:
+    """(chunk_id, score): approximate search; rows that share no bucket with the query are not looked at."""
+    from pyspark.ml.linalg import Vectors
+
+    length = math.sqrt(sum(float(x) ** 2 for x in query)) or 1.0
+    near = model.approxNearestNeighbors(hashed, Vectors.dense([float(x) / length for x in query]), top_k, distCol="distance")
+    score = F.lit(1.0) - F.col("distance") * F.col("distance") / 2
+    return near.select(F.col(id_column).alias("chunk_id"), score.alias("score")).where(score >= threshold).orderBy(F.desc("score"), "chunk_id")
+
+
+def search(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K, threshold: float = 0.0, method: str = "exact", id_column: str = "chunk_id", vector_column: str = "embedding") -> DataFrame:
+    """Exact search by default; ``method="lsh"`` trades recall for looking at fewer rows."""
+    if method == "exact":
+        return search_vector(vectors, query, top_k, threshold, id_column=id_column, vector_column=vector_column)
+    if method != "lsh":
+        raise ValueError(f"no such method: {method}")
+    model, hashed = lsh_model(vectors, vector_column=vector_column)
+    return search_lsh(model, hashed, query, top_k, threshold, id_column)
+
+
 def search_vectors(vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K, block: int = 2048, id_column: str = "chunk_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, chunk_id, score): exact search for a stated set of queries against all rows, in blocks.
 

@@ -92,6 +92,11 @@ def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(vector_search.search_vector(table(spark, d, "embeddings"), _asked(spark, d), id_column="vec_id"), "score")
 
 
+def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate search by random projections."""
+    return _rounded(vector_search.search(table(spark, d, "embeddings"), _asked(spark, d), 10, method="lsh", id_column="vec_id"), "score")
+
+
 def knn_threshold(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(vector_search.search_vector(_vectors(spark, d), _asked(spark, d), top_k=50, threshold=0.3), "score")
 
@@ -261,7 +266,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        text_regex_search, regex_match_lines, match_context, postings_build, entry_postings, token_search, token_search_stored, remove_chunks, upsert_vectors, knn_exact, knn_threshold, knn_batch,
+        text_regex_search, regex_match_lines, match_context, postings_build, entry_postings, token_search, token_search_stored, remove_chunks, upsert_vectors, knn_exact, knn_lsh, knn_threshold, knn_batch,
         rrf_three_way, rrf_two_way, fuse_text_only, fuse_semantic_only, fuse_ast_only, hybrid_search, chunk_fallback, chunk_files, signature_extract, summary_build, line_counts,
         language_detect, source_filter, watch_filter, exclude_filter, binary_detect, latest_scan, ast_pattern_search, ast_struct_search, ast_params_search, return_types, wildcard_match,
         fuzzy_type_match, incremental_diff, chunk_ids_to_remove, apply_deletions, update_state, event_dedup, dummy_embed, index_status, p4_found,

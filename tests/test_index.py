@@ -123,6 +123,18 @@ def test_stream_of_events(spark, tree, tmp_path):
     assert "Box" in (names := run()) and "open_gate" not in names
 
 
+def test_watch_directory(spark, tree, tmp_path):
+    index = str(tmp_path / "ticks")
+    query = watch.watch_directory(spark, str(tree), index, str(tmp_path / "ticks-cp"), embedder=DummyEmbedder(8), interval="1 second")
+    try:
+        until = time.time() + 90
+        while time.time() < until and not index_status(spark, index)["exists"]:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert index_status(spark, index)["files"] == 2
+
+
 def test_native_events(spark):
     rows = spark.createDataFrame([("a", "Create", 1, 1), ("a", "Access", 1, 2), ("b", "remove", 1, 3)], "path string, event string, ts int, seq int")
     assert {(r.path, r.op) for r in watch.convert_events(rows).collect()} == {("a", "changed"), ("b", "deleted")}

@@ -147,3 +147,16 @@ def test_hybrid(spark):
     assert Mode.parse("HyBrid") is Mode.HYBRID
     with pytest.raises(InvalidMode):
         Mode.parse("nope")
+
+
+def test_lsh_recall(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((30, 16))[rng.integers(0, 30, 600)] + rng.standard_normal((600, 16)) * 0.3
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 16)], "chunk_id bigint, embedding array<float>")
+    hits = 0
+    for i in range(0, 600, 120):
+        exact = {r.chunk_id for r in vector_search.search(v, x[i], 5).collect()}
+        hits += len(exact & {r.chunk_id for r in vector_search.search(v, x[i], 5, method="lsh").collect()})
+    assert hits >= 0.9 * 25
+    with pytest.raises(ValueError):
+        vector_search.search(v, x[0], method="graph")
