@@ -98,9 +98,9 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_scores, p3_found, p3_rates, p5_found, p5_ranking, p6_found, p6_pairs, p6_functions, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
 
 _CLEAN = """
-WITH rows_ AS (SELECT DISTINCT p.token, p.chunk_id, p.freq, p.project FROM postings p
+WITH rows_ AS (SELECT DISTINCT p.token, p.chunk_id, p.freq FROM postings p
   WHERE regexp_full_match(p.token, '[a-z0-9_]+') AND p.freq >= 1 AND p.chunk_id IN (SELECT id FROM chunks)),
-terms AS (SELECT chunk_id, token, CAST(sum(freq) AS BIGINT) AS freq FROM rows_ GROUP BY ALL),
+terms AS (SELECT chunk_id, token, max(freq) AS freq FROM rows_ GROUP BY ALL),
 totals AS (SELECT token, count(*) AS df, CAST(sum(freq) AS BIGINT) AS cf FROM terms GROUP BY ALL)
 """
 

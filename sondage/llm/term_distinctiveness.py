@@ -5,7 +5,7 @@ everything else. ``llr`` is Dunning's G2 with the sign of the association: posit
 rest of the collection does.
 
 Cases: null or empty token, token with other characters than a-z, 0-9 and _, null freq, freq below 1 and a record not
-in ``records`` do not count; a repeated row counts once; different freqs of one (token, record) add up; empty tables
+in ``records`` do not count; a repeated row counts once, of different freqs of one (token, record) the greatest holds; empty tables
 give no rows; extra columns are ignored. Equal counts give equal scores, so ties stay ties.
 """
 
@@ -21,16 +21,16 @@ HEAVY_SHARE = 2000
 
 
 def clean_postings(postings: DataFrame, records: DataFrame, record_id: str = "id") -> DataFrame:
-    """(token, chunk_id, freq, record_total): usable rows, once each. One shuffle, on chunk_id, serves all steps."""
-    usable = (
-        postings.where(F.col("token").rlike("^[a-z0-9_]+$") & (F.col("freq") >= 1) & F.col("chunk_id").isNotNull())
-        .select("token", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("freq").cast("bigint").alias("freq"), *(["project"] if "project" in postings.columns else []))
-        .repartition("chunk_id")
-    )
-    known = records.select(F.col(record_id).cast("bigint").alias("chunk_id")).where("chunk_id is not null").repartition("chunk_id")
-    rows = usable.join(known.hint("shuffle_hash"), "chunk_id", "left_semi").dropDuplicates()
-    terms = rows.groupBy("chunk_id", "token").agg(F.sum("freq").alias("freq"))
-    totals = terms.groupBy("chunk_id").agg(F.sum("freq").alias("record_total"))
+    """(token, chunk_id, freq, record_total): usable rows, once each.
+
+    Repeated rows meet in partial aggregates before the shuffle on (chunk_id, token), so neither a group of copies nor a
+    record with very many terms makes a hot task; the totals join is a plain one that adaptive execution may split.
+    """
+    usable = postings.where(F.col("token").rlike("^[a-z0-9_]+$") & (F.col("freq") >= 1) & F.col("chunk_id").isNotNull())
+    rows = usable.select("token", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("freq").cast("bigint").alias("freq"))
+    terms = rows.groupBy("chunk_id", "token").agg(F.max("freq").alias("freq"))
+    known = records.select(F.col(record_id).cast("bigint").alias("chunk_id")).where("chunk_id is not null")
+    totals = terms.groupBy("chunk_id").agg(F.sum("freq").alias("record_total")).join(known, "chunk_id", "left_semi")
     return terms.join(totals.hint("shuffle_hash"), "chunk_id").select("token", "chunk_id", "freq", "record_total")
 
 
