@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """See to it, once per application, that Python workers can import this package: send it where they cannot."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    name = __name__.partition(".")[0]
+    # Made in the main module's name, so that it travels by value.
+    probe = eval(f"lambda _: __import__('importlib.util').util.find_spec({name!r}) is not None", {"__name__": "__main__"})
+    if not all(context.parallelize([0], 1).map(probe).collect()):
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix=f"{name}-")) / name), "zip", package.parent, package.name)
+        context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
 
 def session(name: str = "sondage", cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A local session with adaptive execution; on a cluster take the session that is there."""
