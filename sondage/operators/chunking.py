@@ -21,6 +21,7 @@ from sondage.functions.lexers import masked
 from sondage.functions.lines import lines_of
 from sondage.functions.paths import CONFIG_LANGUAGES, file_name, is_binary, language
 from sondage.schemas import CHUNKS
+from sondage.storage import spread
 
 # Least lines of a chunk, lines of a fallback block, longest config file that is one chunk.
 LEAST_LINES, BLOCK_LINES, CONFIG_LINES = 2, 50, 100
@@ -264,7 +265,7 @@ def chunk_files(files: DataFrame, path_column: str = "file_path", text_column: s
             yield pd.DataFrame(rows, columns=names)
 
     source = files.select(F.col(path_column).alias("p"), F.col(text_column).alias("t"), language(F.col(path_column)).alias("l")).where("p is not null and t is not null and l is not null")
-    chunks = source.mapInPandas(run, out)
+    chunks = spread(source).mapInPandas(run, out)
     return chunks.select(chunk_id(F.col("file_path"), F.col("byte_start"), F.col("byte_end"), F.col("kind")).alias("id"), *names).select(CHUNKS.fieldNames())
 
 
