@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sondage.storage import spread
+
 #: Where the vocabulary files lie; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
@@ -78,7 +80,7 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
 
     source = documents.select(documents[id_column].cast("bigint").alias("doc_id"), documents[text_column].alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(source).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, keep: list[str], text_column: str = "text", tokenizers: str = TOKENIZERS, name: str = NAME) -> DataFrame:
@@ -92,4 +94,4 @@ def count_tokens(documents: DataFrame, keep: list[str], text_column: str = "text
             sizes = pa.array([len(encode_text(t, path)) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes], names=[*keep, "n_tokens"])
 
-    return source.mapInArrow(run, out)
+    return spread(source).mapInArrow(run, out)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions.lexers import LEXERS, LITERAL, Lexed, extension
 from sondage.llm.visual_form import one_form
-from sondage.storage import written
+from sondage.storage import spread, written
 
 # Directories whose content nobody wrote for the project, and endings of generated file names.
 VENDORED_DIRECTORIES = "vendor vendors vendored third_party third-party thirdparty 3rdparty 3rd-party 3rd_party extern external externals node_modules bower_components jspm_packages site-packages dist-packages bundled deps Pods Carthage Godeps _vendor".split()
@@ -210,7 +210,7 @@ def file_signs(documents: DataFrame, id_column: str = "doc_id", path_column: str
             yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(signs, pa.string()), pa.array(paths, pa.bool_())], names=["doc_id", "file_path", "sign", "by_path"])
 
     source = documents.select(documents[id_column].cast("bigint").alias("doc_id"), documents[path_column].alias("file_path"), documents[text_column].alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, file_path string, sign string, by_path boolean")
+    return spread(source).mapInArrow(run, "doc_id bigint, file_path string, sign string, by_path boolean")
 
 
 def path_features(signs: DataFrame) -> DataFrame:

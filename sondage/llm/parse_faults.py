@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.functions.lexers import Lexed, extension, unbalanced
+from sondage.storage import spread
 
 #: Extension to the name of its language.
 LANGUAGES = {"py": "python", "rs": "rust", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "c": "c", "cpp": "cpp", "rb": "ruby", "json": "json", "toml": "toml", "css": "css"}
@@ -213,7 +214,7 @@ def parse_faults(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), path
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(n)), pa.array(languages, pa.string()), pa.array(faults, pa.string())], names=[*keep, "language", "fault"])
 
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)
 
 
 def fault_rates(faults: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from sondage.storage import written
 
 #: Bound of the labelled rows the classifier is fitted on, and its hashed features.
 SAMPLE, WIDTH = 6000, 1024
-#: Most steps of the fit, and the largest miss of a share that ends it.
+#: Most steps of the fit, and the largest miss of a share, or change of it, that ends it.
 STEPS, MISS = 60, 1e-5
 #: Buckets of the hash histogram, at each of two levels.
 BUCKETS = 4096
@@ -171,7 +171,7 @@ def fit_rates(groups: DataFrame, targets: np.ndarray, repeats: np.ndarray) -> np
         for r in parts:
             got[r.i] = r.got
         miss = (got - targets) / total
-        if np.abs(miss).max() < MISS:
+        if np.abs(miss).max() < MISS or moves and np.abs(miss - moves[-1]).max() < MISS:
             break
         moves.append(miss)
     return np.array(moves).reshape(-1, n), scale
@@ -200,7 +200,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = N
     unknown = written(unknown.select("doc_id", "n_tokens", F.col("posterior").alias("member")), "unknown")
     one_hot = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.array(*[F.lit(1.0 if i == j else 0.0) for j in range(len(names))]))])
     whole = sized.where("label is not null").groupBy("label").agg(F.sum("n_tokens").alias("tokens")).select(one_hot[F.col("label")].alias("member"), "tokens")
-    groups = whole.unionByName(unknown.select("member", F.col("n_tokens").alias("tokens"))).select("member", "tokens")
+    groups = written(whole.unionByName(unknown.select("member", F.col("n_tokens").alias("tokens"))).select("member", "tokens"), "groups")
 
     capacity_row = groups.select(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * F.col("member")[i] * float(repeats[i])).alias(f"c{i}") for i in range(len(names))]).first()
     capacity = np.array([float(capacity_row[f"c{i}"] or 0) for i in range(len(names))])

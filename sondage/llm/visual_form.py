@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.storage import spread
+
 # Letters of other scripts whose glyph is that of a Latin letter, after canonical decomposition.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХУԌԚԜҮаеорсухѕіјһԁԛԝӏҽ", "ABESIJKMHOPCTXYGQWYaeopcyxsijhdqwle"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳοϲρνγ", "ABEZHIKMNOPTYXjocpvy"))
@@ -95,7 +97,7 @@ def consistent_texts(documents: DataFrame, id_column: str = "doc_id", text_colum
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one_form(t) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     source = documents.select(documents[id_column].cast("bigint").alias("doc_id"), documents[text_column].alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, text string")
+    return spread(source).mapInArrow(run, "doc_id bigint, text string")
 
 
 def _digest(text: str) -> bytes:
@@ -118,7 +120,7 @@ def form_keys(documents: DataFrame, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.binary()), pa.array(raws, pa.binary())], names=["doc_id", "form", "raw"])
 
     source = documents.select(documents[id_column].cast("bigint").alias("doc_id"), documents[text_column].alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, form binary, raw binary")
+    return spread(source).mapInArrow(run, "doc_id bigint, form binary, raw binary")
 
 
 def same_look_pairs(keys: DataFrame) -> DataFrame:
