@@ -111,7 +111,7 @@ def test_returns_and_globs(spark):
     sigs = [("def foo(x: int) -> bool:", "bool"), ("fn f() -> Result<T> {", "Result<T>"), ("function f(a): string[] {", "string[]"), ("func F(a int)", None), ("fn f() ->", None)]
     df = spark.createDataFrame(sigs, "s string, want string").select("want", pattern.return_type(F.col("s")).alias("got"))
     assert all(r.want == r.got for r in df.collect())
-    names = spark.createDataFrame([("SeekrConfig",), ("AppConfig",), ("ConfigManager",)], "n string")
+    names = spark.createDataFrame([("MainConfig",), ("AppConfig",), ("ConfigManager",)], "n string")
     assert [r.m for r in names.select(pattern.wildcard_match(F.col("n"), "*Config").alias("m")).collect()] == [True, True, False]
 
 
