@@ -2,9 +2,10 @@
 
 A text is cut into stable stretches, which stay as they are, and unstable segments: runs of non-ASCII characters with
 the one ASCII character before them as context (a combining mark may join it; no ASCII character joins what stands
-before). Segments that pass the quick check (nothing foldable in them, already NFC) are kept; the others are decomposed,
-folded, composed again and spliced back in. Folded are full-width forms, invisible characters, kinds of blank and letters
-that look like Latin ones. Letters, case, accents, digits and raised digits that a reader can tell apart stay apart.
+before). Segments that pass the quick check (nothing foldable in them once decomposed, already NFC) are kept; the others
+are decomposed, folded, composed again and spliced back in. Folded are full-width forms, invisible characters, kinds of
+blank and letters that look like Latin ones. Letters, case, accents, digits and raised digits that a reader can tell
+apart stay apart.
 
 Cases: null stays null, an empty text stays empty; ASCII texts are returned unchanged; a zero-width joiner or variation
 selector stays where it shapes an emoji, as that is visible; very long texts are read whole; repeated rows each get
@@ -61,7 +62,17 @@ class _Folds(dict):
         return to
 
 
+class _Stays(dict):
+    """Character to itself, or to nothing if its canonical decomposition holds a foldable one: the quick check's table."""
+
+    def __missing__(self, code: int) -> str | None:
+        parts = unicodedata.normalize("NFD", chr(code))
+        self[code] = to = chr(code) if parts.translate(_FOLDS) == parts else None
+        return to
+
+
 _FOLDS = _Folds()
+_STAYS = _Stays()
 _MEMO: dict[str, str] = {}
 
 
@@ -70,7 +81,7 @@ def _segment(m: re.Match) -> str:
     if (known := _MEMO.get(seg)) is not None:
         return known
     held = _SHAPING.sub(lambda x: _KEEP[x[0]], seg) if "‍" in seg or "️" in seg or "︎" in seg else seg
-    if held.translate(_FOLDS) == seg and unicodedata.is_normalized("NFC", seg):
+    if held.translate(_STAYS) == seg and unicodedata.is_normalized("NFC", seg):
         out = seg
     else:
         folded = unicodedata.normalize("NFD", held).translate(_FOLDS)

@@ -123,6 +123,21 @@ def test_segments_equal_whole(text):
     assert vf.one_form(vf.one_form(text)) == vf.one_form(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab \u0301\u0308\u0451\u0401\u0435\u0415\u0457\u0456\u03cc\u03bf\u00eb\u00f3\u0439\u200b"), max_size=40))
+def test_accented_look_alikes(text):
+    assert vf.one_form(text) == _plain_form(text)
+    assert {vf.one_form(unicodedata.normalize(form, text)) for form in ("NFC", "NFD")} == {vf.one_form(text)}
+
+
+@pytest.mark.parametrize("word", ["лёд", "идёт", "днём", "ёлки", "її", "τό", "Ё"])
+def test_composed_and_decomposed_pair(spark, word):
+    twin = unicodedata.normalize("NFD", word)
+    assert vf.one_form(word) == vf.one_form(twin)
+    keys = vf.form_keys(spark.createDataFrame([(1, word + " x"), (2, twin + " x")], "doc_id bigint, text string"))
+    assert [tuple(r) for r in vf.same_look_pairs(keys).collect()] == [(1, 2)]
+
+
 def test_same_look_pairs(spark):
     rows = [(1, "abc x"), (2, "аbc x"), (3, "abc x"), (4, "ABC x"), (5, None), (6, " "), (7, "abc\u00a0x"), (1, "abc x"), (None, "abc x")]
     keys = vf.form_keys(spark.createDataFrame(rows, "doc_id bigint, text string"))
