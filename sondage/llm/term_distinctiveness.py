@@ -70,5 +70,9 @@ def term_scores(postings: DataFrame, records: DataFrame, record_id: str = "id")
 
 
 def rare_shared_terms(scores: DataFrame) -> DataFrame:
-    """(chunk_id, token): positively associated terms with freq of 3 or more that 2 to 6 records hold."""
-    return scores.where((F.col("llr") > 0) & (F.col("freq") >= 3) & F.col("df").between(2, 6)).select("chunk_id", "token")
+    """(chunk_id, token): terms with freq of 3 or more that 2 to 6 records hold, the most distinctive first.
+
+    The score orders the terms and excludes none: in a record with much of all counts a rare term may score below 0.
+    """
+    cases = scores.where((F.col("freq") >= 3) & F.col("df").between(2, 6))
+    return cases.orderBy(F.desc("llr"), "chunk_id", "token").select("chunk_id", "token")

@@ -41,6 +41,26 @@ def test_term_scores(spark, monkeypatch, heavy):
     assert td.term_scores(postings.limit(0), chunks).count() == 0
 
 
+def test_rare_terms_of_a_heavy_chunk(spark):
+    """Chunk 0 holds a third of all counts; two equal chunks score exactly 0."""
+    import duckdb
+
+    from sondage.llm.queries import SQL
+
+    third = [("shared", c, 3) for c in range(4)] + [("only0", 0, 97), *((f"only{c}", c, 47 + c) for c in range(1, 4)), ("only4", 4, 44)]
+    assert sum(f for _, c, f in third if c == 0) * 3 == sum(f for *_, f in third)
+    for rows in (third, [(t, c, 3) for t in ("x", "y") for c in (1, 2)]):
+        postings = spark.createDataFrame(rows, "token string, chunk_id bigint, freq bigint")
+        chunks = spark.createDataFrame([(c,) for c in range(5)], "id bigint")
+        db = duckdb.connect()
+        db.register("postings", postings.toArrow())
+        db.register("chunks", chunks.toArrow())
+        scores = td.term_scores(postings, chunks)
+        assert scores.where("llr <= 0 and freq >= 3 and df between 2 and 6").count() > 0
+        got = [tuple(r) for r in td.rare_shared_terms(scores).collect()]
+        assert sorted(got) == sorted(db.execute(SQL["p2_found"]).fetchall())
+
+
 def _fuse_plain(rows):
     by = defaultdict(dict)
     for q, c, *s in rows:
