@@ -3,8 +3,8 @@ r"""Functions paired with their documentation.
 Source files are lexed once into tokens; the tokens are exploded into rows. Gaps-and-islands windows over a file's rows
 join comment lines into comments and attribute lines into attribute blocks; a lag window hands the comment before an
 attribute block on to the line after it. So every line of a file that a comment is attached to has one row, and functions
-are joined to it by file and line. ``delimited_functions`` finds the functions themselves in brace languages by a
-cumulative-depth window. No row but the text's own lexing passes through Python before the documentation is judged.
+are joined to it by file and line. ``delimited_functions`` finds the functions themselves by a cumulative-depth window:
+the depth of braces, of Python's indents or of Ruby's blocks. No row but the text's own lexing passes through Python before the documentation is judged.
 
 Cases: a comment parted from the function by a blank line is none of its documentation; a doc_comment counts only where
 the file's text is not there to look in; nulls in any column, empty texts and empty tables give no pair; a repeated chunk
@@ -278,11 +278,144 @@ def _brace_lines(text: str, language: str) -> list[dict]:
     return rows
 
 
-def delimited_functions(documents: DataFrame, path_column: str = "file_path", text_column: str = "text") -> DataFrame:
-    """(file_path, name, line_start, line_end) of the functions of brace languages, ends exclusive, lines from 0.
+_PY_DEF = re.compile(r"(?:async[\s\x03]+)?def[\s\x03]+(\w+)")
+_PY_BLOCK = re.compile(r"[ \t\f]*(?:(?:async[ \t]+)?def|class|@)(?:\b|(?<=@)\w)")
+_PY_SIGN = re.compile(r"[()\[\]{}\n\x03]")
+
+
+def _step(line: int, up: int, name: str | None = None) -> dict:
+    return {"line": line, "up": up, "down": 1 - up, "name": name}
+
+
+def _indent_lines(text: str) -> list[dict]:
+    """Python's steps of depth by the indent of logical lines: one up where a block opens, one down per block that ends.
+
+    Lines inside brackets and strings open and end nothing. A function whose body stands on the line of its ``def`` goes
+    up and down there.
+    """
+
+    def swap(m: re.Match) -> str:
+        return "" if m.lastgroup == "c" else "\x01" + "\x03" * m[0].count("\n")
+
+    code = LEXERS["py"].sub(swap, text.replace("\r\n", "\n")).replace("\\\n", " \x03") + "\n"
+    logical: list[tuple[int, int, int, str]] = []
+    at = first = line = depth = 0
+    for m in _PY_SIGN.finditer(code):
+        if m[0] in "([{":
+            depth += 1
+        elif m[0] in ")]}":
+            depth = max(depth - 1, 0)
+        else:
+            line += 1
+            if m[0] == "\x03" or depth and not _PY_BLOCK.match(code, m.end()):
+                continue
+            depth = 0
+            part = code[at : m.start()]
+            if bare := part.lstrip(" \t\f\x03"):
+                lead = part[: len(part) - len(bare)]
+                logical.append((first + lead.count("\x03"), line - 1, len(lead.rpartition("\f")[2].expandtabs(8)), bare))
+            at, first = m.end(), line
+    rows, indents = [], [0]
+    for n, (first, last, indent, bare) in enumerate(logical):
+        after = logical[n + 1][2] if n + 1 < len(logical) else 0
+        name = m[1] if (m := _PY_DEF.match(bare)) else None
+        if after > indents[-1]:
+            indents.append(after)
+            rows.append(_step(first, 1, name))
+            continue
+        if name is not None:
+            rows += [_step(first, 1, name), _step(last, 0)]
+        while after < indents[-1]:
+            indents.pop()
+            rows.append(_step(last, 0))
+    return rows
+
+
+_RB_STEP = re.compile(
+    r"(?P<n>\n)|(?P<o>[(\[{])|(?P<e>[)\]}])|(?P<s>;)"
+    r"|(?<![\w.:@$])(?:def[ \t]+(?P<d>(?:\w+\.)?(?:[^\W\d]\w*(?:[?!]|=(?=[ \t]*\())?|\[\]=?|[-+!~]@?|\*\*|<=>|===?|=~|![=~]|<<|>>|<=|>=|[*/%<>&|^`]))"
+    r"(?P<l>[ \t]*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)[ \t]*=(?![=~>])|[ \t]+=(?![=~>]))?"
+    r"|(?P<k>class|module|begin|case|do|end|if|unless|while|until|for)(?![\w?!]|:(?!:)))"
+)
+_RB_VALUE = re.compile(r"(?:(?:^|[\n;=(\[{,|&+\-*/%<>^~:])|(?<!\w)[?!]|(?<![\w.:@$])(?:then|else|do|and|or|not|begin|ensure))[ \t]*\Z")
+_RB_GOES_ON = re.compile(r"[=+\-*/%,.&|<>(\[{\\]\s*\Z")
+_RB_HEREDOC = re.compile(r"<<[~-]?(['\"]?)[A-Z_]\w*\1")
+
+
+def _ruby_code(text: str) -> str:
+    """Lexed Ruby in which what follows a heredoc's mark on its line stays."""
+
+    def swap(m: re.Match) -> str:
+        kind, lines = m.lastgroup, "\n" * m[0].count("\n")
+        if kind == "c":
+            return lines
+        if kind in ("s", "k", "x"):
+            return "\x01" + "\x03" * len(lines)
+        if mark := _RB_HEREDOC.match(m[0]):
+            return "\x01" + Lexed(m[0][mark.end() : m[0].index("\n")], "rb").code.rstrip() + "\x03" * (len(lines) - 1) + "\n"
+        return "\x01" + "\x03" * len(lines)
+
+    return LEXERS["rb"].sub(swap, text.replace("\r\n", "\n"))
+
+
+def _end_lines(text: str) -> list[dict]:
+    """Ruby's steps of depth: one up for a word that opens a block, one down for its ``end``.
+
+    ``if`` and the like open where a value may begin and are modifiers elsewhere; the ``do`` of a loop opens nothing; a
+    method without ``end`` ends with its expression.
+    """
+    code = _ruby_code(text) + "\n"
+    rows: list[dict] = []
+    short: list[tuple[int, int]] = []
+    line = seen = depth = level = 0
+    loop = False
+    for m in _RB_STEP.finditer(code):
+        line += code.count("\x03", seen, m.start())
+        seen = m.start()
+        kind, word = m.lastgroup, m["k"]
+        if m["n"] or m["s"]:
+            loop = False
+            while short and short[-1] == (depth, level) and (m["s"] or not (_RB_GOES_ON.search(code, max(m.start() - 80, 0), m.start()) or code[m.end() : m.end() + 200].lstrip().startswith((".", "&.")))):
+                short.pop()
+                level -= 1
+                rows.append(_step(line, 0))
+            line += kind == "n"
+        elif m["o"] or m["e"]:
+            depth += 1 if m["o"] else -1
+        elif m["d"]:
+            rows.append(_step(line, 1, m["d"].rpartition(".")[2]))
+            level += 1
+            if m["l"]:
+                short.append((depth, level))
+            line += m[0].count("\n")
+        elif word == "end":
+            level -= 1
+            rows.append(_step(line, 0))
+        elif word == "do" and loop:
+            loop = False
+        elif word in ("class", "module", "begin", "case", "do", "for") or _RB_VALUE.search(code, max(m.start() - 80, 0), m.start()):
+            level += 1
+            rows.append(_step(line, 1))
+            loop = word in ("while", "until", "for")
+    return rows
+
+
+#: Languages whose functions are delimited by braces.
+BRACES = frozenset(_FUNCTION_RX)
+
+
+def _depth_lines(text: str, language: str) -> list[dict]:
+    if language == "py":
+        return _indent_lines(text)
+    return _end_lines(text) if language == "rb" else _brace_lines(text, language)
+
+
+def delimited_functions(documents: DataFrame, path_column: str = "file_path", text_column: str = "text", languages: frozenset[str] = BRACES) -> DataFrame:
+    """(file_path, name, line_start, line_end) of the functions of ``languages``, ends exclusive, lines from 0.
 
     The depth before and after a line is a running sum; a function ends on the first later line whose depth after it is
-    not above the depth before its start. That line is found by a window over the rows of one depth level.
+    not above the depth before its start. That line is found by a window over the rows of one depth level. Python's
+    depth is that of its indents, Ruby's that of its blocks; they give a row per step, in order.
     """
     row = pa.list_(pa.struct([("line", pa.int32()), ("up", pa.int32()), ("down", pa.int32()), ("name", pa.string())]))
 
@@ -291,18 +424,18 @@ def delimited_functions(documents: DataFrame, path_column: str = "file_path", te
             paths, rows = [], []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 language = extension(path)
-                if text and language in _FUNCTION_RX and (got := _brace_lines(text, language)):
+                if text and language in languages and (got := _depth_lines(text, language)):
                     paths.append(path)
                     rows.append(got)
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(rows, row)], names=["file_path", "rows"])
 
     source = documents.select(documents[path_column].alias("file_path"), documents[text_column].alias("text"))
-    lines = spread(source).mapInArrow(run, "file_path string, rows array<struct<line:int,up:int,down:int,name:string>>").select("file_path", F.inline("rows"))
-    upto = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    lines = spread(source).mapInArrow(run, "file_path string, rows array<struct<line:int,up:int,down:int,name:string>>").select("file_path", F.posexplode("rows").alias("step", "row")).select("file_path", "step", "row.*")
+    upto = Window.partitionBy("file_path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     depth = lines.withColumn("after", F.sum(F.col("up") - F.col("down")).over(upto)).withColumn("before", F.col("after") - F.col("up") + F.col("down"))
     one_line = (F.col("up") > 0) & (F.col("after") <= F.col("before"))
     level = F.when(F.col("name").isNotNull() & ~one_line, F.col("before")).otherwise(F.col("after"))
-    later = Window.partitionBy("file_path", "level").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("file_path", "level").orderBy("step").rowsBetween(1, Window.unboundedFollowing)
     closes: Column = F.min(F.when((F.col("down") > 0) & (F.col("after") < F.col("before")), F.col("line"))).over(later)
     ends = F.when(one_line, F.col("line")).otherwise(closes)
     return (

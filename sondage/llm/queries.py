@@ -56,8 +56,8 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_functions(spark: SparkSession, d: str) -> DataFrame:
-    """The functions of brace languages, delimited in the files themselves."""
-    return documented_functions.delimited_functions(table(spark, d, "documents"))
+    """The functions of all nine languages, delimited in the files themselves."""
+    return documented_functions.delimited_functions(table(spark, d, "documents"), languages=documented_functions.CODE)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import ast
 import json
 import unicodedata
 
@@ -184,6 +185,103 @@ def test_documented_functions(spark):
     assert found == [("a", 2, 4), ("b", 7, 11), ("c", 12, 13), ("d", 14, 15)]
 
 
+PY = '''import os
+
+class A:
+    @property
+    def a(self): return 1
+
+    async def b(
+        self, x=(
+    1),
+    ):
+        """Text
+def no(): pass
+"""
+        if x:
+            def inner():
+                return [
+    1,
+]
+    # a comment
+        # and another
+
+    def c(self): return (1,
+        2)
+def d():
+    x = """
+ end""" + \\
+  "y"  # def e():
+
+if os:
+\tdef f():
+\t\tpass
+'''
+PY_FUNCTIONS = [(n.name, n.lineno - 1, n.end_lineno) for n in ast.walk(ast.parse(PY)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+
+RB = '''module M
+  class << self
+    def a=(v)
+      @v = v if v
+      return unless v
+      while v do
+        v = if v then 1 else 2 end
+      end
+      v.class; v&.end
+    end; def b; end
+  end
+  def self.c?(x, y = f(g(1))) = x.map { |v| v + 1 }
+  def d(x) =
+    x.any? do |v|
+      v
+    end
+
+  private def e(k = "end", end: 1)
+    s = <<~SQL.lines do |l|
+      def no
+      end
+    SQL
+      l
+    end
+    %w[if do].each { |w| puts w unless w }
+    begin
+      x = case k when 1 then :end else { if: 1 } end
+    end until x
+    yield(1) if x.begin?
+    # end
+  end
+  def ==(o) = o
+  def [](i)
+    x.valid? if i
+    for j in i do j end
+    loop do break if j end
+  end
+end
+'''
+RB_FUNCTIONS = [("a=", 2, 10), ("b", 9, 10), ("c?", 11, 12), ("d", 12, 16), ("e", 17, 31), ("==", 31, 32), ("[]", 32, 37)]
+
+
+def test_delimited_functions_by_indent_and_by_end(spark):
+    texts = {"p/a.py": PY, "p/b.py": PY.replace("\n", "\r\n"), "p/c.py": PY.rstrip("\n"), "p/a.rb": RB, "p/b.rb": RB.replace("\n", "\r\n"), "p/a.rs": RS, "p/e.py": "", "p/f.rb": None}
+    docs = spark.createDataFrame(list(texts.items()), "file_path string, text string")
+    found = {}
+    for r in df_.delimited_functions(docs, languages=df_.CODE).collect():
+        found.setdefault(r.file_path, []).append((r.name, r.line_start, r.line_end))
+    assert {k: sorted(v, key=lambda x: x[1:]) for k, v in found.items()} == {
+        **{f"p/{k}.py": sorted(PY_FUNCTIONS, key=lambda x: x[1:]) for k in "abc"},
+        **{f"p/{k}.rb": sorted(RB_FUNCTIONS, key=lambda x: x[1:]) for k in "ab"},
+        "p/a.rs": [("a", 2, 4), ("b", 7, 11), ("c", 12, 13), ("d", 14, 15)],
+    }
+
+
+def test_functions_query_holds_all_languages(spark, sf_dir):
+    from sondage.llm.queries import QUERIES
+
+    chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet").where("kind in ('function', 'method') and (file_path like '%.py' or file_path like '%.rb')")
+    missing = chunks.select("file_path", "line_start", "line_end").distinct().join(QUERIES["p6_functions"](spark, sf_dir), ["file_path", "line_start", "line_end"], "left_anti")
+    assert chunks.count() > 0 and missing.count() == 0
+
+
 @pytest.mark.parametrize("line", ["// Code generated by x-gen. DO NOT EDIT.", "# Fichier produit automatiquement par x-gen; ne pas modifier.", "// Automatisch erzeugt aus matrix.def - nicht bearbeiten.", "/* @generated by x */", "// <auto-generated> x 1.2 </auto-generated>", "// Vendored from drunta 1.2.3; local changes: none.", "// Generated from a.schema at build time; do not modify by hand.", "// Code g\u0435nerated by x-gen. DO NOT EDIT."])
 def test_comment_signs(line):
     assert hw.comment_sign(line + "\nx = 1\n", "py" if line[0] == "#" else "js")
