@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import ast
 import json
+import keyword
 import re
 import tomllib
 import warnings
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.lexers import Lexed, extension, unbalanced
+from sondage.functions.lexers import LEXERS, Lexed, extension, unbalanced
 from sondage.storage import spread
 
 #: Extension to the name of its language.
@@ -158,17 +159,77 @@ def _statements(code: str, language: str) -> str | None:
     return None
 
 
+def _refuse(constant: str) -> None:
+    raise ValueError(constant)
+
+
+def _parse(text: str, language: str) -> None:
+    """Raises SyntaxError or ValueError where the language refuses the text."""
+    if language == "py":
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+    elif language == "json":
+        json.loads(text, parse_constant=_refuse)
+    elif language == "toml":
+        tomllib.loads(text.replace("\r\n", "\n"))
+
+
+_TOKENS = {k: re.compile(r"(?P<open>[(\[{])|(?P<close>[)\]}])|" + LEXERS[k].pattern, re.M) for k in ("py", "json", "toml")}
+#: Brackets up to this depth are left: those of Python's statements and TOML's table headers stand no deeper.
+_OUTER = {"py": 10, "json": 0, "toml": 2}
+_LAST = re.compile(r"([^\W\d]\w*|[\w\"')\]}])?(?:[ \t\f\n]|\\\n|#[^\n]*\n)*\Z")
+_OPERANDS = frozenset(("True", "False", "None"))
+_SIGNS = re.compile(r"([-+~])(?:[ \t]*[-+~])+(?![=>])|\b(not)(?:[ \t]+not\b)+")
+
+
+def _group(text: str, before: str, language: str) -> str:
+    """A short text that may stand for a bracketed one without inner brackets; raises where that is refused."""
+    if language != "py":
+        _parse(text if language == "json" else f"x = {text}", language)
+        return "0"
+    word = _LAST.search(before)[1]
+    if word == "for":
+        _parse(f"[0 for {text} in _]", language)
+        return "_"
+    if word and (word in _OPERANDS or not keyword.iskeyword(word)) and text[0] != "{":
+        _parse(f"(_{text})", language)
+        return "()" if text[0] == "(" else "[_]"
+    _parse(f"({text})", language)
+    return "_"
+
+
+def _flat(text: str, language: str) -> str:
+    """The text with deep brackets judged from the inside out, without recursion, each giving way to a short text."""
+    pieces: list[list[str]] = [[]]
+    at = 0
+    for m in _TOKENS[language].finditer(text):
+        if m["open"]:
+            pieces[-1].append(text[at : m.start()])
+            pieces.append([])
+            at = m.start()
+        elif m["close"]:
+            inner = "".join(pieces.pop()) + text[at : m.end()]
+            at = m.end()
+            if len(pieces) > _OUTER[language]:
+                inner = _group(inner, "".join(pieces[-1][-2:])[-200:], language)
+            pieces[-1].append(inner)
+    flat = "".join(pieces[0]) + text[at:]
+    return _SIGNS.sub(lambda m: m[1] or m[2], flat) if language == "py" else flat
+
+
 def _parser(text: str, language: str) -> str | None:
-    """The verdict of the standard library's parser, for the languages that have one."""
+    """The verdict of the standard library's parser, for the languages that have one.
+
+    A text too deep for it is made flat first. RecursionError from Python's parser comes after the text was accepted, when
+    the tree is handed over. What overflows Python's parser even when flat gives no fault.
+    """
     try:
-        if language == "py":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        elif language == "json":
-            json.loads(text)
-        elif language == "toml":
-            tomllib.loads(text.replace("\r\n", "\n"))
+        try:
+            _parse(text, language)
+        except (RecursionError, MemoryError) as e:
+            if language != "py" or isinstance(e, MemoryError):
+                _parse(_flat(text, language), language)
     except (RecursionError, MemoryError):
         return None
     except (SyntaxError, ValueError):

@@ -60,6 +60,30 @@ def test_fault_of_nothing():
     assert pf.fault("x = 'a" + "b" * 200_000, "py") == "unterminated literal"
 
 
+@pytest.mark.parametrize("text", ['{"a": NaN}', "[Infinity]", "[-Infinity, 1]", "NaN"])
+def test_json_constants(text):
+    assert pf.fault(text, "json")
+    assert pf.fault(json.dumps([text]), "json") is None
+
+
+@pytest.mark.parametrize(
+    "language, start, sound, broken, end",
+    [
+        ("json", "[" * 200_000, "1", "1 2", "]" * 200_000),
+        ("json", '[{"x]": ' * 60_000, "{}", "{,}", "}]" * 60_000),
+        ("toml", "[[a]]\nb = " + "[" * 60_000, "1, # ]\n'['", "1 2", "]" * 60_000),
+        ("toml", "a = " + "[{b = " * 20_000, "1", "x", "}]" * 20_000),
+        ("py", "x = " + "(" * 199, "1", "1 2", ")" * 199),
+        ("py", "x = " + "(lambda x=" * 199, "f(a, *b)", "f(a b)", ": 0)" * 199),
+        ("py", "x = " + "-" * 50_000, "1", "", "\n"),
+        ("py", "x = " + "1 + " * 50_000, "1", "* 1", "\n"),
+    ],
+)
+def test_deep_texts(language, start, sound, broken, end):
+    assert pf.fault(start + sound + end, language) is None
+    assert pf.fault(start + broken + end, language)
+
+
 def test_fault_rows(spark):
     docs = spark.createDataFrame([(1, "a/x.py", "x = (", "p"), (1, "a/x.py", "x = (", "p"), (2, "a/y.py", "x = 1\n", "p"), (3, None, "x", "p"), (4, "a/z.js", None, "p"), (5, "a/w.js", " ", "q")], "doc_id bigint, file_path string, text string, project string")
     assert sorted((r.doc_id, r.fault) for r in pf.parse_faults(docs).collect() if r.fault) == [(1, "premature end")] * 2
