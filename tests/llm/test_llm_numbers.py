@@ -1,8 +1,10 @@
 import math
 from collections import Counter, defaultdict
+from functools import partial
 from statistics import median
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +128,60 @@ def test_similar_pairs(spark):
     assert vn.similar_pairs(_vectors(spark, x, dirt).limit(0)).count() == 0
 
 
+def _wanted(x, least=0.9):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.where(np.triu(unit @ unit.T, 1) >= least)
+    return set(zip(a.tolist(), b.tolist()))
+
+
+def test_pairs_of_crowded_vectors(spark):
+    """More partners than a node keeps: 40 vectors that are all similar, and a crowd joined in several stripes."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((240, 64))
+    x[:40] = x[0] + rng.standard_normal((40, 64)) * 0.2
+    want = _wanted(x)
+    assert len(want) == 780
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in vn.similar_pairs(_vectors(spark, x)).collect()}
+    assert got == want
+    crowd = np.concatenate([rng.standard_normal(64) + rng.standard_normal((n, 64)) * 0.24 for n in (150, 60, 9)] + [rng.standard_normal((300, 64))])
+    graph = vn.build_graph(_vectors(spark, crowd))
+    floor = vn.code_floor(0.9, 64)
+    full = {r.id for r in graph.nodes.where(F.col("worst") >= floor).collect()}
+    pairs = {(r.x, r.y) for r in vn.full_pairs(graph.nodes, floor, stripe=50).collect()}
+    assert len(full) > 150 and {p for p in _wanted(crowd) if set(p) <= full} <= pairs <= _wanted(crowd, floor - 0.05)
+
+
+def test_copies_stay_classes(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((50, 64))
+    x[10:40] = x[0]
+    x[41] = x[0] + rng.standard_normal(64) * 0.1
+    pairs, members = vn.similar_classes(_vectors(spark, x))
+    assert [(r.class_a, r.class_b) for r in pairs.collect()] == [(0, 41)] and members.count() == 50
+    links = {r.id: r.links for r in vn.class_links(pairs, members).collect()}
+    assert links[0] == links[25] == links[41] == 31 and links[5] == 0
+    assert vn.expanded_pairs(pairs, members).count() == 31 * 32 // 2
+    assert {(r.chunk_id_a, r.chunk_id_b) for r in vn.expanded_pairs(pairs, members).collect()} == _wanted(x)
+
+
+def test_hub_of_many_lists(spark):
+    """A node in 100,000 lists sends and gets no more than its best members of what each task gathered."""
+
+    def nodes(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            rng = np.random.default_rng(int(ids[0]) if len(ids) else 0)
+            q = [r.tobytes() for r in rng.integers(1, 120, (len(ids), 64)).astype(np.int8)]
+            links = [np.array([(0 if i else 1, 0.5)], vn._LINK).tobytes() for i in ids.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(q), pa.array(links), pa.array(np.ones(len(ids), np.int32)), pa.array(np.full(len(ids), -2, np.float32))], names=["id", "q", "links", "fresh", "worst"])
+
+    graph = spark.range(0, 100_001, 1, 4).mapInArrow(nodes, vn._GRAPH)
+    sent = graph.select("id", "links", "fresh").mapInArrow(partial(vn._links_both_ways, 5), vn._MEMBER)
+    assert sent.where("node = 0").count() <= 4 * 10
+    after = vn.descend(graph).select("id", "links").collect()
+    assert len(after) == 100_001 and all(len(r.links) >= vn._LINK.itemsize for r in after)
+
+
 def test_search_recall(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((60, 64))[rng.integers(0, 60, 2000)] + rng.standard_normal((2000, 64)) * 0.7
