@@ -24,7 +24,6 @@ from pyspark.sql.window import Window
 
 from sondage.functions.lexers import LEXERS, Lexed, extension
 from sondage.llm.visual_form import one_form
-from sondage.storage import spread
 
 #: Languages whose comments are looked for.
 CODE = frozenset(("py", "rs", "js", "ts", "go", "java", "c", "cpp", "rb"))
@@ -92,7 +91,7 @@ def lexed(documents: DataFrame, path_column: str = "file_path", text_column: str
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(rows, token)], names=["file_path", "tokens"])
 
     source = documents.select(documents[path_column].alias("file_path"), documents[text_column].alias("text"))
-    return spread(source).mapInArrow(run, f"file_path string, tokens {_TOKEN}").select("file_path", F.inline("tokens"))
+    return source.mapInArrow(run, f"file_path string, tokens {_TOKEN}").select("file_path", F.inline("tokens"))
 
 
 def attached(tokens: DataFrame) -> DataFrame:
@@ -210,7 +209,7 @@ def _with_docstring(chunks: DataFrame, keep: list[str]) -> DataFrame:
             found = pa.array([docstring(x) for x in b.column(b.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], names=[*keep, "docstring"])
 
-    return spread(source).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def _judged(rows: DataFrame, texts: list[str]) -> DataFrame:
@@ -430,7 +429,7 @@ def delimited_functions(documents: DataFrame, path_column: str = "file_path", te
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(rows, row)], names=["file_path", "rows"])
 
     source = documents.select(documents[path_column].alias("file_path"), documents[text_column].alias("text"))
-    lines = spread(source).mapInArrow(run, "file_path string, rows array<struct<line:int,up:int,down:int,name:string>>").select("file_path", F.posexplode("rows").alias("step", "row")).select("file_path", "step", "row.*")
+    lines = source.mapInArrow(run, "file_path string, rows array<struct<line:int,up:int,down:int,name:string>>").select("file_path", F.posexplode("rows").alias("step", "row")).select("file_path", "step", "row.*")
     upto = Window.partitionBy("file_path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     depth = lines.withColumn("after", F.sum(F.col("up") - F.col("down")).over(upto)).withColumn("before", F.col("after") - F.col("up") + F.col("down"))
     one_line = (F.col("up") > 0) & (F.col("after") <= F.col("before"))
