@@ -27,13 +27,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def session(name: str = "sondage", cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
-    """A local session with adaptive execution; on a cluster take the session that is there."""
+    """A local session with adaptive execution; on a cluster take the session that is there.
+
+    The low cost of opening a file lets a scan of few megabytes have a split per row group.
+    """
     return (
         SparkSession.builder.appName(name)
         .master(f"local[{cores}]")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", str(256 * 1024))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

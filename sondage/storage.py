@@ -48,17 +48,6 @@ def written(df: DataFrame, what: str = "step", sort_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Below so many bytes a core, by the optimizer's estimate, a table is spread over the cores before a costly pass.
-SPREAD_BELOW = 1 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table over all cores; a large one as it is, since its scan has splits enough. Looks at statistics only."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if 0 < size < SPREAD_BELOW * cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by name: one Parquet file or a folder of them."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
