@@ -210,7 +210,10 @@ def score(pattern: Pattern) -> Column:
 
 
 def search_pattern(chunks: DataFrame, pattern: str, top_k: int = TOP_K, least: float = 0.0) -> DataFrame:
-    """(chunk_id, score): best chunks for a signature pattern, ties by id."""
+    """(chunk_id, score): best chunks for a signature pattern, ties by id.
+
+    The kinds reach the scan and no text is moved: repeated rows of a chunk meet as scores, of which the best counts.
+    """
     wanted = parse(pattern)
     rows = chunks.where(kind_filter(wanted)).select(F.col("id").alias("chunk_id"), score(wanted).alias("score"))
-    return rows.where(F.col("score") > least).orderBy(F.desc("score"), "chunk_id").limit(top_k)
+    return rows.where(F.col("score") > least).groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k)

@@ -30,14 +30,16 @@ def _matched(lines: Column, pattern: str) -> Column:
 def regex_search(chunks: DataFrame, pattern: str, top_k: int = TOP_K, case_sensitive: bool = False, id_column: str = "id", body_column: str = "body") -> DataFrame:
     """(chunk_id, matched_lines, score): best chunks by matching lines and their density, ties by id.
 
-    Only id and body are read; the top is kept per task before one task merges them.
+    Only id and body are read, and no body is moved: repeated rows of a chunk meet as hits, of which the best counts. The
+    top is kept per task before one task merges them.
     """
     rx = checked(chunks.sparkSession, pattern, case_sensitive)
     rows = chunks.select(F.col(id_column).alias("chunk_id"), lines_of(F.col(body_column)).alias("lines"))
     found = rows.select("chunk_id", F.size("lines").alias("n"), _matched(F.col("lines"), rx).alias("matched_lines"))
     m = F.size("matched_lines").cast("double")
     score = m + F.lit(10.0) * m / F.greatest(F.col("n"), F.lit(1))
-    return found.where(F.size("matched_lines") > 0).select("chunk_id", "matched_lines", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k)
+    hits = found.where(F.size("matched_lines") > 0).groupBy("chunk_id").agg(F.max(F.struct(score.alias("score"), "matched_lines")).alias("hit"))
+    return hits.select("chunk_id", "hit.matched_lines", "hit.score").orderBy(F.desc("score"), "chunk_id").limit(top_k)
 
 
 def matching_lines(texts: DataFrame, pattern: str, case_sensitive: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -51,7 +53,7 @@ def match_context(matches: DataFrame, chunks: DataFrame, context_lines: int = CO
     """(chunk_id, line_number, line, is_match): matches with the lines around them, each line once, numbered in the file."""
     start = F.col(start_column) if start_column else F.lit(0)
     bodies = chunks.select(F.col(id_column).alias("chunk_id"), lines_of(F.col(body_column)).alias("lines"), start.alias("start"))
-    rows = matches.select("chunk_id", "matched_lines").join(bodies, "chunk_id")
+    rows = matches.select("chunk_id", "matched_lines").join(bodies, "chunk_id").dropDuplicates(["chunk_id"])
     near = F.array_distinct(F.flatten(F.transform("matched_lines", lambda m: F.sequence(F.greatest(F.lit(0), m - context_lines), F.least(m + context_lines, F.size("lines") - 1)))))
     out = rows.select("chunk_id", "start", "lines", "matched_lines", F.explode(near).alias("i"))
     return out.select("chunk_id", (F.col("start") + F.col("i")).alias("line_number"), F.col("lines")[F.col("i")].alias("line"), F.array_contains("matched_lines", F.col("i")).alias("is_match"))

@@ -42,10 +42,11 @@ def normalised(vectors: DataFrame, vector_column: str = "embedding") -> DataFram
     return vectors.withColumn(vector_column, F.when(length > 0, F.transform(vector_column, lambda x: (x / length).cast("float"))).otherwise(F.col(vector_column)))
 
 
-def search_vector(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K, threshold: float = 0.0, unit: bool = False, id_column: str = "chunk_id", vector_column: str = "embedding") -> DataFrame:
+def search_vector(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K, threshold: float = 0.0, unit: bool = False, repeated: bool = False, id_column: str = "chunk_id", vector_column: str = "embedding") -> DataFrame:
     """(chunk_id, score): exact search. The query is a literal, its norm a constant; the top is kept per task.
 
-    The threshold is applied to the top, which leaves the same rows and computes each score once.
+    The threshold is applied to the top, which leaves the same rows and computes each score once. Where rows may be
+    ``repeated``, ids and scores are shuffled once, vectors never; the best score of an id counts.
     """
     q = [float(x) for x in query]
     length = math.sqrt(sum(x * x for x in q))
@@ -56,7 +57,10 @@ def search_vector(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K
         terms = F.array(*[F.lit(x) for x in q])
         own = F.lit(1.0) if unit else norm(v)
         score = F.when((F.size(v) == len(q)) & (own > 0), dot(v, terms) / F.when(own > 0, own * F.lit(length))).otherwise(0.0)
-    best = vectors.select(F.col(id_column).alias("chunk_id"), F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k)
+    scored = vectors.select(F.col(id_column).alias("chunk_id"), F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0)).alias("score"))
+    if repeated:
+        scored = scored.groupBy("chunk_id").agg(F.max("score").alias("score"))
+    best = scored.orderBy(F.desc("score"), "chunk_id").limit(top_k)
     return best.where(F.col("score") >= threshold)
 
 

@@ -34,14 +34,14 @@ class Mode(str, Enum):
             raise InvalidMode(text) from None
 
 
-def fused_hits(chunks: DataFrame, vectors: DataFrame, query: str, mode: Mode | str = Mode.HYBRID, top_k: int = 20, query_vector: Sequence[float] | None = None, embedder: Embedder | None = None, rrf_k: int = RRF_K, threshold: float = 0.0, least_ast: float = 0.0) -> DataFrame:
+def fused_hits(chunks: DataFrame, vectors: DataFrame, query: str, mode: Mode | str = Mode.HYBRID, top_k: int = 20, query_vector: Sequence[float] | None = None, embedder: Embedder | None = None, rrf_k: int = RRF_K, threshold: float = 0.0, least_ast: float = 0.0, repeated: bool = False) -> DataFrame:
     """The fused hits of a query. Every source is cut to ``top_k`` before fusion; a query that is no signature pattern
-    adds no ast hits to a hybrid search, but a bad regular expression fails it."""
+    adds no ast hits to a hybrid search, but a bad regular expression fails it. ``repeated``: vectors may have an id twice."""
     mode = Mode.parse(mode) if isinstance(mode, str) and not isinstance(mode, Mode) else mode
 
     def semantic() -> DataFrame:
         asked = query_vector if query_vector is not None else (embedder or DummyEmbedder()).embed_batch([query])[0]
-        return search_vector(vectors, [float(x) for x in asked], top_k, threshold)
+        return search_vector(vectors, [float(x) for x in asked], top_k, threshold, repeated=repeated)
 
     if mode is Mode.TEXT:
         return fuse_only(regex_search(chunks, query, top_k), "text", top_k)
@@ -58,8 +58,8 @@ def fused_hits(chunks: DataFrame, vectors: DataFrame, query: str, mode: Mode | s
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunks, in the order of the fused score; hits without a chunk fall away."""
-    return hits.join(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id").orderBy(F.desc("fused_score"), "chunk_id")
+    """Hits with their chunks, each once, in the order of the fused score; hits without a chunk fall away."""
+    return hits.join(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id").dropDuplicates(["chunk_id"]).orderBy(F.desc("fused_score"), "chunk_id")
 
 
 def search(spark: SparkSession, index: str, query: str, mode: Mode | str = Mode.HYBRID, top_k: int = 20, embedder: Embedder | None = None, rrf_k: int = RRF_K, threshold: float = 0.0) -> DataFrame:

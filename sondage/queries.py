@@ -21,13 +21,17 @@ REGEX, TOKENS, PATTERN, PARAMS = "stale|frozen", "cache budget cache", "pub fn *
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks, each once."""
-    return table(spark, d, "chunks").dropDuplicates(["id"])
+    """Chunks as they are stored, some of them repeatedly."""
+    return table(spark, d, "chunks")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors, each once."""
-    return table(spark, d, "vectors").where("embedding is not null").dropDuplicates(["chunk_id"])
+    """Vectors as they are stored, some of them repeatedly."""
+    return table(spark, d, "vectors").where("embedding is not null")
+
+
+def _semantic(spark: SparkSession, d: str, top_k: int = 20, threshold: float = 0.0) -> DataFrame:
+    return vector_search.search_vector(_vectors(spark, d), _asked(spark, d), top_k, threshold, repeated=True)
 
 
 def _asked(spark: SparkSession, d: str) -> list[float]:
@@ -57,7 +61,7 @@ def match_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings_build(spark: SparkSession, d: str) -> DataFrame:
-    return postings.build_postings(_chunks(spark, d))
+    return postings.build_postings(_chunks(spark, d).dropDuplicates(["id"]))
 
 
 def entry_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +69,7 @@ def entry_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_search(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(postings.token_search(postings.build_postings(_chunks(spark, d)), TOKENS), "score")
+    return _rounded(postings.token_search(postings.build_postings(_chunks(spark, d).dropDuplicates(["id"])), TOKENS), "score")
 
 
 def token_search_stored(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +89,7 @@ def remove_chunks(spark: SparkSession, d: str) -> DataFrame:
 def upsert_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Index entries' vectors put over the stored ones."""
     entries = table(spark, d, "index_entries").select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
-    return postings.upsert_vectors(_vectors(spark, d), entries).select("chunk_id", F.size("embedding").cast("bigint").alias("n"))
+    return postings.upsert_vectors(_vectors(spark, d).dropDuplicates(["chunk_id"]), entries).select("chunk_id", F.size("embedding").cast("bigint").alias("n"))
 
 
 def knn_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +102,7 @@ def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(vector_search.search_vector(_vectors(spark, d), _asked(spark, d), top_k=50, threshold=0.3), "score")
+    return _rounded(_semantic(spark, d, 50, 0.3), "score")
 
 
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -110,12 +114,12 @@ def knn_batch(spark: SparkSession, d: str) -> DataFrame:
 def rrf_three_way(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
     text, ast = text_search.regex_search(chunks, REGEX), pattern.search_pattern(chunks, PATTERN)
-    return _fused(fusion.rrf_fuse(text, vector_search.search_vector(_vectors(spark, d), _asked(spark, d)), ast))
+    return _fused(fusion.rrf_fuse(text, _semantic(spark, d), ast))
 
 
 def rrf_two_way(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    return _fused(fusion.rrf_fuse(text_search.regex_search(chunks, REGEX), vector_search.search_vector(_vectors(spark, d), _asked(spark, d))))
+    return _fused(fusion.rrf_fuse(text_search.regex_search(chunks, REGEX), _semantic(spark, d)))
 
 
 def fuse_text_only(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +127,7 @@ def fuse_text_only(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuse_semantic_only(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(fusion.fuse_only(vector_search.search_vector(_vectors(spark, d), _asked(spark, d)), "semantic"))
+    return _fused(fusion.fuse_only(_semantic(spark, d), "semantic"))
 
 
 def fuse_ast_only(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +136,7 @@ def fuse_ast_only(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    hits = fused_hits(chunks, _vectors(spark, d), REGEX, Mode.HYBRID, query_vector=_asked(spark, d))
+    hits = fused_hits(chunks, _vectors(spark, d), REGEX, Mode.HYBRID, query_vector=_asked(spark, d), repeated=True)
     return _rounded(with_chunks(hits, chunks).select("chunk_id", "fused_score", "file_path", "kind", "name"), "fused_score")
 
 
@@ -146,11 +150,11 @@ def chunk_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signature_extract(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("id", summary.signature(F.col("body")).alias("signature"))
+    return _chunks(spark, d).select("id", summary.signature(F.col("body")).alias("signature")).dropDuplicates(["id"])
 
 
 def summary_build(spark: SparkSession, d: str) -> DataFrame:
-    return summary.summaries(_chunks(spark, d))
+    return summary.summaries(_chunks(spark, d)).dropDuplicates(["chunk_id"])
 
 
 def line_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -196,16 +200,16 @@ def ast_params_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def return_types(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("id", pattern.return_type(F.coalesce("signature", "body")).alias("return_type"))
+    return _chunks(spark, d).select("id", pattern.return_type(F.coalesce("signature", "body")).alias("return_type")).dropDuplicates(["id"])
 
 
 def wildcard_match(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).where(pattern.wildcard_match(F.col("name"), "*TREE*")).select("id", "name")
+    return _chunks(spark, d).where(pattern.wildcard_match(F.col("name"), "*TREE*")).select("id", "name").dropDuplicates(["id"])
 
 
 def fuzzy_type_match(spark: SparkSession, d: str) -> DataFrame:
     found = _chunks(spark, d).select("id", pattern.return_type(F.col("signature")).alias("return_type"))
-    return found.where(pattern.type_matches_column("number", F.col("return_type")))
+    return found.where(pattern.type_matches_column("number", F.col("return_type"))).dropDuplicates(["id"])
 
 
 def _state(spark: SparkSession, d: str) -> DataFrame:
@@ -248,13 +252,14 @@ def event_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dummy_embed(spark: SparkSession, d: str) -> DataFrame:
-    return embed(summary.summaries(_chunks(spark, d)), DummyEmbedder(64))
+    return embed(summary.summaries(_chunks(spark, d)).dropDuplicates(["chunk_id"]), DummyEmbedder(64))
 
 
 def index_status(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").agg(F.countDistinct("id").alias("chunk_count"), F.countDistinct("file_path").alias("files"))
-    dim = table(spark, d, "vectors").agg(F.max(F.size("embedding")).cast("bigint").alias("embedding_dim"))
-    return chunks.join(dim)
+    """One row of counts; the two distinct counts expand ids and paths, no other column."""
+    ids = table(spark, d, "chunks").select(F.col("id").alias("i"), F.col("file_path").alias("p"), F.lit(None).cast("int").alias("n"))
+    sizes = table(spark, d, "vectors").select(F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("string").alias("p"), F.size("embedding").alias("n"))
+    return ids.unionByName(sizes).agg(F.countDistinct("i").alias("chunk_count"), F.countDistinct("p").alias("files"), F.max("n").cast("bigint").alias("embedding_dim"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
