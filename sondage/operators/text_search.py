@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def _matched(lines: Column, pattern: str) -> Column:
     return F.filter(marked, lambda i: i.isNotNull())
 
 
+#: What a pattern may hold if a text without a match is to have no line with one: no lookaround, no input anchors, nothing possessive.
+_LINEWISE = re.compile(r"\(\?|\\[AzZGQEBk\d]|[*+?}]\+")
+
+
+def _may_match(body: Column, pattern: str, flagged: str) -> Column | None:
+    """A quick test of a whole text before it is split: false only where no line matches. None if there is none."""
+    return None if _LINEWISE.search(pattern) else body.rlike(f"(?m){flagged}")
+
+
 def regex_search(chunks: DataFrame, pattern: str, top_k: int = TOP_K, case_sensitive: bool = False, id_column: str = "id", body_column: str = "body") -> DataFrame:
     """(chunk_id, matched_lines, score): best chunks by matching lines and their density, ties by id.
 
@@ -34,12 +45,16 @@ def regex_search(chunks: DataFrame, pattern: str, top_k: int = TOP_K, case_sensi
     top is kept per task before one task merges them.
     """
     rx = checked(chunks.sparkSession, pattern, case_sensitive)
-    rows = chunks.select(F.col(id_column).alias("chunk_id"), lines_of(F.col(body_column)).alias("lines"))
+    body = F.col(body_column)
+    quick = _may_match(body, pattern, rx)
+    rows = (chunks if quick is None else chunks.where(quick)).select(F.col(id_column).alias("chunk_id"), lines_of(body).alias("lines"))
     found = rows.select("chunk_id", F.size("lines").alias("n"), _matched(F.col("lines"), rx).alias("matched_lines"))
     m = F.size("matched_lines").cast("double")
     score = m + F.lit(10.0) * m / F.greatest(F.col("n"), F.lit(1))
-    hits = found.where(F.size("matched_lines") > 0).groupBy("chunk_id").agg(F.max(F.struct(score.alias("score"), "matched_lines")).alias("hit"))
-    return hits.select("chunk_id", "hit.matched_lines", "hit.score").orderBy(F.desc("score"), "chunk_id").limit(top_k)
+    if quick is None:
+        found = found.where(F.size("matched_lines") > 0)
+    hits = found.groupBy("chunk_id").agg(F.max(F.struct(score.alias("score"), "matched_lines")).alias("hit"))
+    return hits.where(F.size("hit.matched_lines") > 0).select("chunk_id", "hit.matched_lines", "hit.score").orderBy(F.desc("score"), "chunk_id").limit(top_k)
 
 
 def matching_lines(texts: DataFrame, pattern: str, case_sensitive: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -1,11 +1,12 @@
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sondage.errors import InvalidMode, InvalidPattern
-from sondage.operators import fusion, pattern, postings, vector_search
+from sondage.operators import fusion, pattern, postings, text_search, vector_search
 from sondage.operators.embedding import DummyEmbedder, embed, embed_all
 from sondage.plans.search import Mode, fused_hits
 
@@ -160,3 +161,18 @@ def test_lsh_recall(spark):
     assert hits >= 0.9 * 25
     with pytest.raises(ValueError):
         vector_search.search(v, x[0], method="graph")
+
+
+def test_quick_test_of_whole_texts(spark):
+    """The quick test before texts are split loses no line, whatever its ends; repeated rows count once."""
+    bodies = ["one\ntwo\n", "x\r\nend here\r\nz", "tail", "", None, "a\nb\n\nc", "Straße\nSTALE", "end\n here"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)] + [(1, bodies[1])], "id bigint, body string")
+    for rx in ("^two$", "here$", "^$", "stale", "e\\s*$", "^[^a]$", "tail|two", "end\\s+here", "(?<!x)tail", "e*+$", "\\Ctail".replace("\\C", "\\A"), "\\bz\\b"):
+        java = re.compile(rx.replace("*+", "*"), re.I)
+        want = {}
+        for i, b in enumerate(bodies):
+            lines = re.split("\r?\n", b) if b is not None else []
+            lines = lines[:-1] if lines and lines[-1] == "" else lines
+            if hit := [n for n, line in enumerate(lines) if java.search(line)]:
+                want[i] = hit
+        assert {r.chunk_id: r.matched_lines for r in text_search.regex_search(df, rx).collect()} == want, rx
