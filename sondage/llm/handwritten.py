@@ -2,10 +2,10 @@
 
 Repositories may declare such paths in attribute files; those are parsed and resolved as the tool that reads them does:
 within a file the last matching line holds, and a file in a deeper directory goes before one further up. Undeclared
-repositories get equivalent patterns: fixed conventions for directories and file names, and patterns mined from the
-collection itself - directory names and name endings that stand on files which say in a comment that they are generated
-or vendored, far more often than on other files and in several projects. Beside the path, a file's comments (never its
-strings) and the shape of its text count: minified lines, and bulk data.
+repositories get equivalent patterns, mined from the collection itself: directory names, parts and shapes of file names
+that stand on files with a sign far more often than on others, in several projects; a handful of conventions that hold
+everywhere stands in where a collection is too small to mine. A sign is a comment (never a string) that says the file is
+generated or vendored, or the shape of the text: minified lines, bulk data, accessor tables.
 
 Cases: a null or blank text is no case; a null path has no sign in the path; an explicit negative declaration goes before
 every pattern; comments are read in their visually consistent form; very long texts are read whole; repeated rows each
@@ -18,57 +18,57 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.functions.lexers import LEXERS, LITERAL, Lexed, extension
 from sondage.llm.visual_form import one_form
 from sondage.storage import written
 
-# Directories whose content nobody wrote for the project, and endings of generated file names.
-VENDORED_DIRECTORIES = "vendor vendors vendored third_party third-party thirdparty 3rdparty 3rd-party 3rd_party extern external externals node_modules bower_components jspm_packages site-packages dist-packages bundled deps Pods Carthage Godeps _vendor".split()
-GENERATED_DIRECTORIES = "generated __generated__ _generated autogen auto-generated autogenerated gen gen-src gensrc generated-src generated-sources generated_sources codegen-out codegen_out gen-out __pycache__ .dart_tool".split()
-GENERATED_NAMES = [
-    r"[._-]min\.\w+$", r"[._-]bundle\.\w+$", r"^bundle[._-][0-9a-z]+\.(?:js|css)$", r"\.[0-9a-z]{5,32}\.chunk\.js$", r"^chunk[._-][0-9a-f]{5,}\.js$",
-    r"\.pb\.\w+$", r"\.pb\.cc\.\w+$", r"\.pb-c\.[ch]$", r"[._]pb2?(?:_grpc)?\.(?:py|pyi|rb|js|ts|d\.ts)$", r"OuterClass(?:_generated)?\.java$", r"_grpc\.\w+$",
-    r"[._-](?:generated|autogen|auto_generated|autogenerated|gen)\.\w+$", r"^(?:zz_generated|generated)[._-][^/]*_?\w*\.go$", r"^zz_generated", r"\.g\.\w+$", r"_bindgen\.rs$", r"\.tab\.[ch](?:c|pp|xx)?$", r"^lex\.\w+\.c$", r"^(?:moc|qrc)_\w+\.(?:cpp|cc|cxx)$", r"^ui_\w+\.h$", r"\.designer\.\w+$", r"_string\.go$",
-    r"^(?:package-lock|npm-shrinkwrap|composer\.lock|packages\.lock)\.json$", r"^(?:yarn|pnpm-lock|Cargo|poetry|Pipfile|Gemfile|deps|uv|pdm|flake|mix)\.lock(?:\.\w+)?$", r"\.lock\.(?:toml|json|yaml)$", r"-lock\.(?:json|yaml|toml)$",
+# The few conventions that hold everywhere, for collections too small to mine.
+STANDARD_PATHS = [
+    r"(?:^|/)(?:vendor(?:ed|s)?|(?:3rd|third)[-_]?party|node_modules|bower_components|site-packages|generated|__generated__)/",
+    r"[._-]min\.\w+$|[._-]generated\.\w+$|\.pb(?:\.\w+)?\.\w+$|_pb2?\.\w+$",
+    r"(?:^|/)(?:package-lock|npm-shrinkwrap)\.json$|\.lock(?:\.\w+)?$",
 ]
-_DIRECTORY = re.compile("(?:^|/)(?:" + "|".join(map(re.escape, [*VENDORED_DIRECTORIES, *GENERATED_DIRECTORIES])) + ")/", re.I)
-_NAME = re.compile("|".join(f"(?:{p})" for p in GENERATED_NAMES))
-_DIST = re.compile(r"(?:^|/)(?:dist|target|build|out)/(?:[^/]+/)*[^/]*(?:[.-][0-9a-z]*\d[0-9a-z]*)\.(?:js|css|map)$")
-_HASHED = re.compile(r"(?:^|/)(?:assets|static|public|dist|build)/(?:[^/]+/)*[^/.]+\.(?=[0-9a-z]*\d|[a-z]{5,8}\.)[0-9a-z]{5,20}\.(?:js|css)$")
+_STANDARD = re.compile("|".join(f"(?:{p})" for p in STANDARD_PATHS), re.I)
 
-# What generators and people who copy write at the head of a file, in several languages.
+# What generators, and people who copy, write about a file: how it was made, that it is not to be edited, what
+# becomes of edits, where it was copied from. In English and, for the two commonest sentences, a few other languages.
 GENERATED_SIGNS = [
-    r"@generated\b", r"<\s*auto-?generated\b", r"\bautomatically[ -]generated\b", r"\bauto-?generated\b(?!\s+(?:files?|code|clients?|tables?|names?|keys?|ids?)\b(?! by| from| with))", r"\b(?:code|file|source|module|class|bindings?|parser|lexer|content|document)\b(?: (?:is|was|has been))?(?: (?:automatically|machine))?[ -]generated (?:by|from|with|using|automatically)\b",
-    r"\bmachine[ -]generated\b", r"\bgenerated (?:file|code)\b[,.;: -]+(?:do not|don.t|changes|edits|please do not|any)", r"\bdo not (?:edit|modify|change|hand-?edit|touch)\b(?! this (?:list|order|value|line|table|constant))", r"\bproduced by [\w./-]+ (?:from|out of)\b", r"\bchanges (?:made here )?will be (?:lost|overwritten)\b", r"\bgenerated (?:by|with|using) (?:the )?(?:protocol buffer compiler|protoc|[\w.]+[- ]?(?:gen|generator|codegen|compiler)\b|\S+ v?\d+\.\d)",
-    r"\bthis is a (?:derived|generated|compiled|build) (?:file|output|artifact)\b", r"\bedit \S+ instead and (?:re-?run|re-?build|re-?generate)\b", r"^generated from \S+\.\w+\b",
-    r"\b(?:regenerate|re-generate) (?:it |this |this file )?(?:with|by|using)\b",
-    r"automatisch (?:erzeugt|erstellt|generiert)", r"nicht (?:von hand )?(?:bearbeiten|ändern|editieren)", r"(?:produit|généré|créé|genere)\w* automatiquement|automatiquement (?:produit|généré|créé)", r"ne pas (?:modifier|éditer|toucher)", r"(?:generad|cread)o (?:automáticamente|por [\w.-]+[- ]?gen\b)|automáticamente (?:generad|cread)", r"no (?:editar|modificar|editarlo|modifique|edite)\b", r"(?:gerado|criado) (?:automaticamente|por [\w.-]+[- ]?gen\b)", r"não (?:edite|editar|modifi)", r"generato automaticamente|non modificare",
-    r"(?:автоматически|авто)[ -]?(?:создан|с?генерирован)|создан\w* автоматически|с?генерирован\w* (?:автоматически|программой)|не (?:редактир|изменя|правьте|править)", r"自動生成|自动生成|自動的に生成|編集しない|編集禁止|手で編集|请勿(?:修改|编辑|手动)|不要(?:修改|编辑)|자동 ?생성|수정하지 마", r"automatycznie wygenerowan|nie edytować|automatisch gegenereerd|niet (?:bewerken|wijzigen)",
+    r"@generated\b|<\s*auto-?generated\b",
+    r"\b(?:auto(?:matically)?|machine)[ -]?(?:generated|produced|created|written)\b(?!\s+(?:clients?|tables?|names?|keys?|ids?|docs?)\b(?! by| from| with))",
+    r"\b(?:do not|don['’]?t|never|must not|should not)(?: be)? (?:manually |hand[- ]?)?(?:edit|modif|change|touch|alter)\w*\b(?! (?:this|the) (?:list|order|value|line|table|constant|key|default))",
+    r"\b(?:edits?|changes|modifications)\b[^.;]{0,30}\b(?:(?:will|would|get|gets|are|is|be) (?:be )?(?:lost|overwritten|discarded|undone))\b",
+    r"(?:^|\b(?:this|the) )(?:whole )?(?:code|file|source|module|class|bindings?|parser|lexer|content|document)?(?:(?: is| was| has been) | ?)(?:a )?(?:generated|produced|derived|compiled|emitted) (?:automatically|by|from|with|using|file|output)\b",
+    r"\bproduced by [\w./-]+ (?:from|out of)\b|\bedit \S+ instead\b|\bre-?generate(?:d)? (?:it |this |this file )?(?:with|by|using)\b",
+    r"automatisch (?:erzeugt|erstellt|generiert)|nicht (?:von hand )?(?:bearbeiten|ändern|editieren)|(?:produit|généré|créé)\w* automatiquement|ne pas (?:modifier|éditer)|(?:generad|cread)o (?:automáticamente|por )|no (?:editar|modificar)\b|gerado automaticamente|não (?:edit|modifi)|generato automaticamente|non modificare",
+    r"автоматически (?:создан|с?генерирован)|(?:создан|с?генерирован)\w* автоматически|не (?:редактир|изменя)|自動生成|自动生成|編集しない|请勿(?:修改|编辑)|자동 ?생성",
 ]
 VENDORED_SIGNS = [
-    r"\bvendored (?:from|copy of|in from)\b", r"\bcopied (?:verbatim |unchanged |unmodified |over )?from \S+ (?:release|version|tag|v?\d)", r"\b(?:is a |a )?(?:bundled|vendored|verbatim|unmodified) copy of\b", r"\bimported third[- ]party\b", r"^upstream: \S+ (?:at|@|tag|release|version|v?\d)", r"\bsynced by the import script\b", r"\bdo not fix here but upstream\b", r"\bkeep identical (?:to|with) upstream\b",
-    r"(?:^|\s)(?:kopiert|übernommen) aus \S+ (?:version|release|v?\d)", r"copi(?:é|e)e? (?:telle quelle |sans changement )?de(?:puis)? \S+ (?:version|v?\d)|copie (?:embarquée|conforme) de", r"copiad[oa] (?:de|desde) \S+ (?:versión|versão|v?\d)|copia (?:incluida|literal) de",
+    r"^(?:vendored|vendored code|upstream)\s*[:@]\s*\S+ (?:at\b|@|tag\b|release\b|version\b|v?\d)|\bvendored (?:from|in from|copy of)\b|^(?:imported |bundled |vendored )third[- ]party (?:code|source|copy|library)\b",
+    r"\b(?:copied|taken|imported|mirrored|kopiert|übernommen|copié|copiado) (?:verbatim |unchanged |unmodified |over |as is )?(?:from|aus|de|desde) \S+ (?:release|version|versión|versão|tag|v?\d)",
+    r"\b(?:bundled|vendored|verbatim|unmodified|embedded) copy of\b",
 ]
 _SIGN = re.compile("|".join(f"(?:{p})" for p in [*GENERATED_SIGNS, *VENDORED_SIGNS]), re.I | re.M)
 _BANNER = re.compile(r"^/\*!\s*\*?\s*[\w.@/-]+(?:\.js|\.css)?\s+v?\d+\.\d+", re.M)
 _SOURCE_MAP = re.compile(r"^(?://|/\*)[#@]\s*sourceMappingURL=", re.M)
 # One of these stands in every text that a sign matches; a quick test before the lexer.
-_HINT_WORDS = "generated generier erzeugt erstellt bearbeiten ändern editieren produit modif généré genere créé éditer toucher creado criado generado gerado generato edite gegener wygener edytowa bewerken wijzigen do_not_ produced_by vendored copied_verbatim copied_from copied_unchanged copied_unmodified copied_over verbatim bundled unmodified imported_third upstream: synced_by fix_here_but identical changes_made will_be_lost will_be_overwritten regenerate re-generate this_is_a_ instead_and kopiert übernommen copié copie copiad copia_ создан генерир редактир изменя правь правит 生成 編集 编辑 修改 생성 수정"
+_HINT_WORDS = "generated generate_ machine auto-produced auto_produced automatically autocreated auto-created produced derived compiled emitted instead overwritten discarded undone do_not don't don’t never must_not should_not are_lost be_lost get_lost gets_lost is_lost erzeugt erstellt generier bearbeiten ändern editieren automatiquement modifier éditer automáticamente creado_por generado_por creada_por generada_por no_editar no_modificar gerado não_edit não_modif generato modificare автоматически редактир изменя 生成 編集 编辑 修改 생성 vendored upstream third-party third_party copied taken_ imported_ mirrored kopiert übernommen copié_ copiado copy_of"
 _HINTS = tuple(h.replace("_", " ") for h in _HINT_WORDS.split())
 _DIGITS = "0123456789,"
 _LONG_WORD = re.compile(r"[A-Za-z0-9+/=_\\-]{40}")
-_NEGATION = re.compile(r"\bnot (?:\w+ )?generated\b|\b(?:nothing|none) (?:in here |here )?is (?:copied|generated)\b|\b(?:written|edited|maintained|kept|made) by hand\b|\bedit freely\b|\breplaces? the generated\b|\bat run ?time\b", re.I)
+_NEGATION = re.compile(r"\bnot (?:\w+ )?generated\b|\b(?:nothing|none) (?:in here |here )?is (?:copied|generated)\b|\b(?:written|edited|maintained|kept|made) by hand\b|\bedit freely\b|\breplaces? the generated\b|\b(?:at|on|during) (?:run ?time|import|start-?up|startup|load|first use)\b", re.I)
 _LINE_MARK = re.compile(r"^[ \t]*(?:/\*+!?|\*+/?|//+[!/]?|#+!?|--+|;+|<!--)?[ \t]*")
 
 _LONG_LINE = re.compile(r"[^\n]{120}")
 _ENCODED = re.compile(r"[\"'`]([A-Za-z0-9+/=_\\-]{40,})[\"'`]")
 _NUMBERS = re.compile(r"(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[a-zA-Z]{0,3}\d{0,2}\s*,\s*){16,}")
 
-#: Mined patterns: on at least so many self-declared files, of so many projects, and so many times as often as usual.
-MINED_SUPPORT, MINED_PROJECTS, MINED_LIFT, MINED_SHARE = 5, 3, 5.0, 0.12
+#: Mined patterns stand on at least so many files with a sign, of so many projects. The lower bound (95 %, Wilson) of the
+#: share of their files with a sign is above MINED_SHARE, or, for directories, that of files with a comment that says so is
+#: above MINED_LIFT times the usual share: most of a copied tree carries no sign of its own.
+MINED_SUPPORT, MINED_PROJECTS, MINED_SHARE, MINED_LIFT = 3, 3, 0.4, 1.5
 
 _SLOT = re.compile(r"^[ \t]*(?:return[ \t]+)?[\w.$@]+(?:->[\w.]+)?\[\d+\];?[ \t]*$|\{[ \t]*return[ \t]+[\w.>-]+\[\d+\];?[ \t]*\}[ \t]*$", re.M)
 
@@ -143,11 +143,8 @@ def text_sign(text: str, language: str) -> str | None:
 
 
 def path_sign(path: str | None) -> bool:
-    """Whether a path follows a fixed convention for files nobody wrote by hand."""
-    if not path:
-        return False
-    inside = path.partition("/")[2] or path
-    return bool(_DIRECTORY.search("/" + inside.rpartition("/")[0] + "/") or _NAME.search(inside.rpartition("/")[2]) or _DIST.search(inside) or _HASHED.search(inside))
+    """Whether a path follows one of the conventions that hold everywhere."""
+    return bool(path) and bool(_STANDARD.search(path.partition("/")[2] or path))
 
 
 def glob_regex(pattern: str) -> str:
@@ -170,8 +167,9 @@ def glob_regex(pattern: str) -> str:
     return ("" if anchored else "(?:.*/)?") + out
 
 
-def attribute_rules(path: str, text: str) -> list[tuple[int, int, str, bool]]:
-    """(depth, line, regex, value) of the lines of an attribute file that declare paths generated or vendored, or not."""
+def attribute_rules(path: str, text: str | None) -> list[dict]:
+    """(dir, line, regex, on) of the lines of an attribute file that declare paths generated or vendored, or not; the
+    expression is for paths relative to the file's directory."""
     directory = path.rpartition("/")[0]
     rules = []
     for n, line in enumerate((text or "").splitlines()):
@@ -182,89 +180,101 @@ def attribute_rules(path: str, text: str) -> list[tuple[int, int, str, bool]]:
             name, _, value = attribute.lstrip("-!").partition("=")
             if name.rpartition("-")[2] in ("generated", "vendored"):
                 on = attribute[0] not in "-!" and value.lower() in ("", "true", "set", "1")
-                rules.append((directory.count("/") + bool(directory), n, re.escape(directory + "/" if directory else "") + glob_regex(words[0]), on))
+                rules.append({"dir": directory, "line": n, "regex": f"^{glob_regex(words[0])}$", "on": on})
     return rules
 
 
-def declared(path: str, rules: list[tuple[int, int, str, bool]]) -> bool | None:
-    """What attribute files say of a path: deeper files first, in a file the last matching line."""
-    for _, _, rx, on in sorted(rules, key=lambda r: (-r[0], -r[1])):
-        if re.fullmatch(rx, path):
-            return on
-    return None
+ATTRIBUTE_FILE = ".gitattributes"
+_RULE = pa.list_(pa.struct([("dir", pa.string()), ("line", pa.int32()), ("regex", pa.string()), ("on", pa.bool_())]))
 
 
 def file_signs(documents: DataFrame, id_column: str = "doc_id", path_column: str = "file_path", text_column: str = "text") -> DataFrame:
-    """(doc_id, file_path, sign, by_path) of non-blank texts: one narrow pass, the text goes no further."""
+    """(doc_id, file_path, sign, by_path, rules) of non-blank texts: one narrow pass, the text goes no further. ``rules``
+    are those of an attribute file, null for other files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, signs, paths = [], [], []
+            at, signs, paths, rules = [], [], [], []
             for i, (path, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 if text is None or not text.strip():
                     continue
                 at.append(i)
+                own = path is not None and path.rpartition("/")[2] == ATTRIBUTE_FILE
+                rules.append(attribute_rules(path, text) if own else None)
                 paths.append(path_sign(path))
                 signs.append(text_sign(text, extension(path)))
             taken = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(signs, pa.string()), pa.array(paths, pa.bool_())], names=["doc_id", "file_path", "sign", "by_path"])
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(signs, pa.string()), pa.array(paths, pa.bool_()), pa.array(rules, _RULE)], names=["doc_id", "file_path", "sign", "by_path", "rules"])
 
     source = documents.select(documents[id_column].cast("bigint").alias("doc_id"), documents[path_column].alias("file_path"), documents[text_column].alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, file_path string, sign string, by_path boolean")
+    return source.mapInArrow(run, "doc_id bigint, file_path string, sign string, by_path boolean, rules array<struct<dir:string,line:int,regex:string,on:boolean>>")
+
+
+def declared_paths(signs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(file_path, declared): what attribute files say of paths: deeper files first, in a file the last matching line.
+
+    A path meets the rules (dir, line, regex, on) of each directory above it by an equality join, so neither the rules of a
+    project nor its files are gathered anywhere.
+    """
+    parts = F.split("file_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    paths = signs.where("file_path is not null").select("file_path").distinct().select("file_path", F.explode(above).alias("dir"))
+    met = paths.join(rules.distinct(), "dir").withColumn("rest", F.when(F.col("dir") == "", F.col("file_path")).otherwise(F.substr("file_path", F.length("dir") + 2)))
+    hits = met.where(F.rlike("rest", F.col("regex")))
+    return hits.groupBy("file_path").agg(F.max_by("on", F.struct(F.length("dir"), "line", "regex")).alias("declared"))
 
 
 def path_features(signs: DataFrame) -> DataFrame:
-    """(doc_id, project, feature, marked): directory names below the project, and endings of the name, one row each."""
+    """(file_path, project, feature, said, marked): the patterns a path may be known by, one row each.
+
+    Directory names below the project; endings of the file name, its first part, and the name with what looks like a
+    version or a hash taken out. ``said``: a comment says so; ``marked``: there is any sign in the text.
+    """
     parts = F.split("file_path", "/")
+    name = F.lower(F.element_at(parts, -1))
     directories = F.when(F.size(parts) > 2, F.slice(parts, 2, F.size(parts) - 2)).otherwise(F.array().cast("array<string>"))
-    name = F.element_at(parts, -1)
-    ending = F.regexp_extract(name, r"((?:[._-][A-Za-z][A-Za-z-]{0,15})+\.\w+)$", 1)
-    features = F.concat(F.transform(directories, lambda x: F.concat(F.lower(x), F.lit("/"))), F.array(ending))
-    rows = signs.where("file_path is not null").select("doc_id", parts[0].alias("project"), (F.col("sign") == "comment").alias("marked"), F.explode(F.array_distinct(features)).alias("feature"))
-    return rows.where("length(feature) > 1")
+    ending = F.concat(F.lit("*"), F.regexp_extract(name, r"((?:[._-][a-z][a-z-]{0,15})+\.\w+)$", 1))
+    first = F.regexp_replace(name, r"^([a-z]{2,9}[_.-]).*(\.\w+)$", "$1*$2")
+    masked = F.regexp_replace(name, r"(?<=[._-])(?=[0-9a-z]*\d)[0-9a-z]{5,32}(?=[._-])", "#")
+    hashed = F.regexp_replace(F.when(F.contains(masked, F.lit("#")), masked), "^[a-z0-9]*", "*")
+    names = F.array(F.when(ending != "*", ending), F.when(first != name, first), F.when(~hashed.rlike(r"^\*_#\.\w+$"), hashed))
+    features = F.concat(F.transform(directories, lambda x: F.concat(F.lower(x), F.lit("/"))), names)
+    said, marked = F.coalesce(F.col("sign") == "comment", F.lit(False)), F.col("sign").isNotNull()
+    rows = signs.where("file_path is not null").select("file_path", parts[0].alias("project"), said.alias("said"), marked.alias("marked"), F.explode(F.array_distinct(features)).alias("feature"))
+    return rows.where("feature is not null")
+
+
+def _lower_bound(k: Column, n: Column, z: float = 1.64) -> Column:
+    """The lower end of the Wilson interval of the share k / n."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def mined_patterns(signs: DataFrame) -> DataFrame:
-    """(feature): path patterns of files that declare themselves. Counts cover all files; partial sums before the shuffle."""
-    base = signs.agg(F.avg(F.coalesce(F.col("sign") == "comment", F.lit(False)).cast("double")).alias("base")).first()["base"] or 0.0
-    counts = path_features(signs).groupBy("feature", "project").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("marked"), F.lit(False)).cast("long")).alias("k"))
-    by_feature = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum((F.col("k") > 0).cast("long")).alias("projects"))
-    share = F.col("k") / F.col("n")
-    return by_feature.where((F.col("k") >= MINED_SUPPORT) & (F.col("projects") >= MINED_PROJECTS) & (share >= MINED_SHARE) & (share >= MINED_LIFT * base)).select("feature")
+    """(feature): path patterns of files with a sign. Counts cover all files; partial sums before the shuffle."""
+    usual = signs.agg(F.avg(F.coalesce(F.col("sign") == "comment", F.lit(False)).cast("double")).alias("share")).first()["share"] or 0.0
+    counts = path_features(signs).groupBy("feature", "project").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("said").cast("long")).alias("said"), F.sum(F.col("marked").cast("long")).alias("k"))
+    by_feature = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("said").alias("said"), F.sum("k").alias("k"), F.sum((F.col("k") > 0).cast("long")).alias("projects"))
+    often = (F.col("k") >= MINED_SUPPORT) & (F.col("projects") >= MINED_PROJECTS)
+    lifted = F.endswith("feature", F.lit("/")) & (F.col("said") > 0) & (_lower_bound(F.col("said"), F.col("n")) > MINED_LIFT * usual)
+    return by_feature.where(often & ((_lower_bound(F.col("k"), F.col("n")) > MINED_SHARE) | lifted)).select("feature")
 
 
 def not_handwritten(documents: DataFrame, attribute_files: DataFrame | None = None) -> DataFrame:
-    """(doc_id, reason) of the files nobody wrote by hand for their project.
+    """(doc_id, reason) of the files nobody wrote by hand for their project; the first of these that holds: declared,
+    mined, path, then the sign in the text.
 
-    ``attribute_files`` has file_path and text of attribute files; by default they are looked for among the documents.
+    ``attribute_files`` has file_path and text of attribute files; by default they are those among the documents.
     """
     signs = written(file_signs(documents), "signs")
-    features = path_features(signs).join(mined_patterns(signs), "feature", "left_semi").select("doc_id").distinct().withColumn("mined", F.lit(True))
-    found = signs.join(features, "doc_id", "left")
-    files = attribute_files if attribute_files is not None else documents.where(F.col("file_path").rlike(r"(^|/)\.gitattributes$")).select("file_path", "text")
-    rules = files.where("file_path is not null and text is not null").groupBy(F.split("file_path", "/")[0].alias("project")).agg(F.collect_list(F.struct("file_path", "text")).alias("files"))
-    if rules.isEmpty():
-        verdict = F.lit(None).cast("boolean")
+    mined = path_features(signs).join(mined_patterns(signs), "feature", "left_semi").select("file_path").distinct().withColumn("mined", F.lit(True))
+    found = signs.join(mined, "file_path", "left")
+    held = signs if attribute_files is None else file_signs(attribute_files.withColumn("doc_id", F.lit(0)))
+    rules = held.where("rules is not null").select(F.inline("rules"))
+    if attribute_files is None and rules.isEmpty():
+        found = found.withColumn("declared", F.lit(None).cast("boolean"))
     else:
-        found = found.withColumn("project", F.split("file_path", "/")[0]).join(rules, "project", "left")
-
-        @F.pandas_udf("boolean")
-        def declared_udf(paths, groups):
-            import pandas as pd
-
-            memo: dict = {}
-            out = []
-            for path, group in zip(paths, groups):
-                if path is None or group is None or not len(group):
-                    out.append(None)
-                    continue
-                key = tuple((g["file_path"], g["text"]) for g in group)
-                if key not in memo:
-                    memo[key] = [r for f, t in key for r in attribute_rules(f, t)]
-                out.append(declared(path, memo[key]))
-            return pd.Series(out, dtype="object")
-
-        verdict = declared_udf("file_path", "files")
-    reason = F.when(F.col("declared"), "declared").when(F.col("sign").isNotNull(), F.col("sign")).when(F.col("by_path"), "path").when(F.col("mined"), "mined")
-    judged = found.withColumn("declared", verdict).where(F.coalesce(F.col("declared"), F.lit(True)))
+        found = found.join(declared_paths(signs, rules), "file_path", "left")
+    reason = F.when(F.col("declared"), "declared").when(F.col("mined"), "mined").when(F.col("by_path"), "path").otherwise(F.col("sign"))
+    judged = found.where(F.coalesce(F.col("declared"), F.lit(True)))
     return judged.select("doc_id", reason.alias("reason")).where("reason is not null")

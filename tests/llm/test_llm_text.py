@@ -3,6 +3,7 @@ import json
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -306,13 +307,13 @@ def test_functions_query_holds_all_languages(spark, sf_dir):
     assert chunks.count() > 0 and missing.count() == 0
 
 
-@pytest.mark.parametrize("line", ["// Code generated by x-gen. DO NOT EDIT.", "# Fichier produit automatiquement par x-gen; ne pas modifier.", "// Automatisch erzeugt aus matrix.def - nicht bearbeiten.", "/* @generated by x */", "// <auto-generated> x 1.2 </auto-generated>", "// Vendored from drunta 1.2.3; local changes: none.", "// Generated from a.schema at build time; do not modify by hand.", "// Code g\u0435nerated by x-gen. DO NOT EDIT."])
+@pytest.mark.parametrize("line", ["// Code generated by x-gen. DO NOT EDIT.", "# Fichier produit automatiquement par x-gen; ne pas modifier.", "// Automatisch erzeugt aus matrix.def - nicht bearbeiten.", "/* @generated by x */", "// <auto-generated> x 1.2 </auto-generated>", "// Vendored from drunta 1.2.3; local changes: none.", "// Generated from a.schema at build time; do not modify by hand.", "// Code g\u0435nerated by x-gen. DO NOT EDIT.", "# This module was produced by our schema compiler; edits are overwritten.", "# Vendored: left-pad 1.2"])
 def test_comment_signs(line):
     assert hw.comment_sign(line + "\nx = 1\n", "py" if line[0] == "#" else "js")
     assert not hw.comment_sign("x = " + json.dumps(line) + "\n", "js")
 
 
-@pytest.mark.parametrize("line", ["This replaces the generated client, please edit freely.", "Values in this table are generated by the planner at run time, see the notes.", "Turns generated tables into pages.", "Written by hand; the report itself is generated elsewhere.", "Reads vendored packages and lists them, nothing in here is copied."])
+@pytest.mark.parametrize("line", ["This replaces the generated client, please edit freely.", "Values in this table are generated by the planner at run time, see the notes.", "Turns generated tables into pages.", "Written by hand; the report itself is generated elsewhere.", "Reads vendored packages and lists them, nothing in here is copied.", "The code is generated by the parser at import"])
 def test_no_comment_signs(line):
     assert not hw.comment_sign(f"// {line}\nx = 1\n", "js")
 
@@ -326,17 +327,35 @@ def test_text_signs():
 
 
 def test_path_signs():
-    for path in ["p/vendor/a/x.go", "p/x.min.js", "p/a/package-lock.json", "p/src/x_pb2.py", "p/src/x.pb.go", "p/node_modules/a/b.js", "p/static/bundle-ab12x.js"]:
+    for path in ["p/vendor/a/x.go", "p/x.min.js", "p/a/package-lock.json", "p/src/x_pb2.py", "p/src/x.pb.go", "p/node_modules/a/b.js", "p/3rdparty/x.c"]:
         assert hw.path_sign(path), path
-    for path in ["p/app/models/vendor_invoice.py", "p/tools/codegen/writer.rs", "p/src/generated_columns.py", "vendor/src/a.py", "p/build-tools/a.js", None]:
+    for path in ["p/app/models/vendor_invoice.py", "p/tools/codegen/writer.rs", "p/src/generated_columns.py", "vendor/src/a.py", "p/build-tools/a.js", "p/src/external/api.py", "p/lib/gen/handler.go", "p/deps/x.py", None]:
         assert not hw.path_sign(path), path
 
 
-def test_attribute_files():
-    rules = hw.attribute_rules("p/.gitattributes", "# x\n*.gen.py linguist-generated\nlib/** linguist-vendored=true\nlib/own/* -linguist-vendored\n/top.c linguist-generated\nx text\n")
-    rules += hw.attribute_rules("p/deep/.gitattributes", "*.gen.py -linguist-generated\n")
-    want = {"p/a.gen.py": True, "p/q/a.gen.py": True, "p/deep/a.gen.py": False, "p/lib/a/b.c": True, "p/lib/own/c.c": False, "p/top.c": True, "p/q/top.c": None, "p/z.py": None}
-    assert {k: hw.declared(k, rules) for k in want} == want
+def test_attribute_files(spark):
+    """Nested attribute files: the deeper one first, in a file the last matching line."""
+    files = {"p/.gitattributes": "# x\n*.gen.py linguist-generated\nlib/** linguist-vendored=true\nlib/own/* -linguist-vendored\n/top.c linguist-generated\nx text\n", "p/deep/.gitattributes": "*.gen.py -linguist-generated\n", "q/.gitattributes": "*.py linguist-generated\n"}
+    want = {"p/a.gen.py": True, "p/q/a.gen.py": True, "p/deep/a.gen.py": False, "p/deep/er/a.gen.py": False, "p/lib/a/b.c": True, "p/lib/own/c.c": False, "p/top.c": True, "p/q/top.c": None, "p/z.py": None, "q/z.py": True}
+    rows = [(i, path, "let x = 1\n") for i, path in enumerate(want)] + [(100 + i, path, text) for i, (path, text) in enumerate(files.items())] + [(200, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, file_path string, text string")
+    signs = hw.file_signs(docs)
+    got = {r.file_path: r.declared for r in hw.declared_paths(signs, signs.where("rules is not null").select(F.inline("rules"))).collect()}
+    assert got == {k: v for k, v in want.items() if v is not None}
+    reasons = {r.doc_id: r.reason for r in hw.not_handwritten(docs).collect()}
+    assert reasons == {i: "declared" for i, path in enumerate(want) if want[path]}
+
+
+def test_mined_patterns_hold_for_other_projects(spark):
+    """Patterns mined in some projects mark the files of a project where no file says so."""
+    mark = "// Vendored from drunta 1.2.3; local changes: none.\nlet x = 1;\n"
+    rows = [(i, f"p{i % 9}/src/f{i}.js", "let y = 1;\n") for i in range(300)]
+    rows += [(1000 + i, f"p{i % 9}/libs/imported/f{i}.js", mark if i % 2 == 0 and i % 9 else "let y = 1;\n") for i in range(90)]
+    rows += [(2000 + i, f"held/{d}/f{i}.js", "let y = 1;\n") for i, d in enumerate(["imported", "src", "imported/deep", "other"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, file_path string, text string")
+    reasons = {r.doc_id: r.reason for r in hw.not_handwritten(docs).collect()}
+    assert {i: r for i, r in reasons.items() if i >= 2000} == {2000: "mined", 2002: "mined"}
+    assert all(reasons.get(1000 + i) == "mined" for i in range(90)) and not any(i < 300 for i in reasons)
 
 
 def test_not_handwritten(spark):
