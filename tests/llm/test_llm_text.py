@@ -138,8 +138,18 @@ def test_other_look(one, other):
 
 
 def _plain_form(text):
-    out = "".join((vf._FOLDS[ord(c)] or "") for c in unicodedata.normalize("NFD", text))
-    return unicodedata.normalize("NFC", out)
+    """Both steps over whole texts, without segments."""
+    for table in (vf._FOLDS, {ord(k): v for k, v in vf.LOOKALIKES.items()}):
+        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(table))
+    return text
+
+
+def test_genuine_words_stay():
+    russian = "Москва, сосна и ёлка — «пример».\n"
+    assert vf.normal_form(russian) == vf.consistent_form(russian) == russian
+    assert vf.consistent_form("p\u0430ypal ｆｏｏ caf\u0065\u0301 a\u200bb\u00a0c \U0001d400\ufb01\u2028x") == "paypal foo caf\u00e9 ab c Afi\nx"
+    assert vf.one_form("\ua4d0\u04c0\ufe63") == "Bl-" and vf.one_form("µ") == vf.one_form("μ")
+    assert vf.consistent_form("⁵ x² ① ½") == "⁵ x² ① ½"
 
 
 @settings(max_examples=200, deadline=None)
