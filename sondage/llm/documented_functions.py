@@ -2,9 +2,9 @@ r"""Functions paired with their documentation.
 
 Source files are lexed once into tokens; the tokens are exploded into rows. Gaps-and-islands windows over a file's rows
 join comment lines into comments and attribute lines into attribute blocks; a lag window hands the comment before an
-attribute block on to the line after it. So every line of a file that a comment is attached to has one row, and functions
-are joined to it by file and line. ``delimited_functions`` finds the functions themselves by a cumulative-depth window:
-the depth of braces, of Python's indents or of Ruby's blocks. No row but the text's own lexing passes through Python before the documentation is judged.
+attribute block on to the line after it. A cumulative-depth window delimits the functions: the depth of braces, of Python's
+indents or of Ruby's blocks. Functions and comments meet by file and line. No row but the text's own lexing passes through
+Python before the documentation is judged.
 
 Cases: a comment parted from the function by a blank line is none of its documentation; a doc_comment counts only where
 the file's text is not there to look in; nulls in any column, empty texts and empty tables give no pair; a repeated chunk
@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 from sondage.functions.lexers import LEXERS, Lexed, extension
 from sondage.llm.visual_form import one_form
+from sondage.storage import written
 
 #: Languages whose comments are looked for.
 CODE = frozenset(("py", "rs", "js", "ts", "go", "java", "c", "cpp", "rb"))
@@ -76,38 +77,47 @@ def tokens_of(text: str, language: str) -> list[tuple[int, int, str, str]]:
 _TOKEN = "array<struct<first:int,last:int,kind:string,text:string>>"
 
 
-def lexed(documents: DataFrame, path_column: str = "file_path", text_column: str = "text") -> DataFrame:
-    """(file_path, first, last, kind, text): the tokens as rows."""
-    token = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind", pa.string()), ("text", pa.string())]))
+_STEPS = "array<struct<line:int,up:int,down:int,name:string>>"
+_TOKEN_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind", pa.string()), ("text", pa.string())]))
+_STEP_ARROW = pa.list_(pa.struct([("line", pa.int32()), ("up", pa.int32()), ("down", pa.int32()), ("name", pa.string())]))
+
+
+def parsed(documents: DataFrame, path_column: str = "file_path", text_column: str = "text", languages: frozenset[str] = CODE) -> DataFrame:
+    """(file, file_path, tokens, steps) of every text with a path: one lexing pass; ``file`` tells repeated rows apart.
+
+    ``tokens`` are comments and attributes, ``steps`` the lines where the depth changes or a function starts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths, rows = [], []
+            tokens, steps = [], []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 language = extension(path)
-                if text and language in CODE and (got := tokens_of(text, language)):
-                    paths.append(path)
-                    rows.append([{"first": f, "last": e, "kind": k, "text": t} for f, e, k, t in got])
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(rows, token)], names=["file_path", "tokens"])
+                known = language in languages
+                tokens.append([{"first": f, "last": e, "kind": k, "text": t} for f, e, k, t in tokens_of(text, language)] if known else [])
+                steps.append(_depth_lines(text, language) if known else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, _TOKEN_ARROW), pa.array(steps, _STEP_ARROW)], names=["file_path", "tokens", "steps"])
 
-    source = documents.select(documents[path_column].alias("file_path"), documents[text_column].alias("text"))
-    return source.mapInArrow(run, f"file_path string, tokens {_TOKEN}").select("file_path", F.inline("tokens"))
+    source = documents.select(documents[path_column].alias("file_path"), documents[text_column].alias("text")).where("file_path is not null and text is not null")
+    out = source.mapInArrow(run, f"file_path string, tokens {_TOKEN}, steps {_STEPS}")
+    return out.select(F.monotonically_increasing_id().alias("file"), "file_path", "tokens", "steps")
 
 
-def attached(tokens: DataFrame) -> DataFrame:
-    """(file_path, line, comment): the comment that ends on the line above ``line``, or above the attributes before it.
+def attached(files: DataFrame) -> DataFrame:
+    """(file_path, line, comment) of parsed files: the comment that ends on the line above ``line``, or above the attributes before it.
 
     Islands are stretches of tokens without a line between; runs are the comments, and the attributes, of an island.
     """
-    file = Window.partitionBy("file_path").orderBy("first", "last", "kind")
+    tokens = files.select("file", "file_path", F.inline("tokens"))
+    file = Window.partitionBy("file").orderBy("first", "last", "kind")
     apart = F.coalesce(F.col("first") > F.lag("last").over(file) + 1, F.lit(True))
     other = F.coalesce(F.col("kind") != F.lag("kind").over(file), F.lit(True))
     marked = tokens.withColumn("apart", apart.cast("int")).withColumn("other", (apart | other).cast("int"))
     upto = file.rowsBetween(Window.unboundedPreceding, 0)
     placed = marked.withColumn("island", F.sum("apart").over(upto)).withColumn("run", F.sum("other").over(upto))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("first", "text"))), lambda x: x["text"])
-    runs = placed.groupBy("file_path", "island", "run", "kind").agg((F.max("last") + 1).alias("line"), F.array_join(lines, "\n").alias("text"))
-    order = Window.partitionBy("file_path").orderBy("run")
+    runs = placed.groupBy("file", "file_path", "island", "run", "kind").agg((F.max("last") + 1).alias("line"), F.array_join(lines, "\n").alias("text"))
+    order = Window.partitionBy("file").orderBy("run")
     above = F.when(F.lag("island").over(order) == F.col("island"), F.lag("text").over(order))
     comment = F.when(F.col("kind") == "c", F.col("text")).otherwise(above)
     return runs.select("file_path", "line", comment.alias("comment")).where("comment is not null")
@@ -237,19 +247,23 @@ def _judged(rows: DataFrame, texts: list[str]) -> DataFrame:
 def documented_functions(chunks: DataFrame, documents: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """``keep`` columns of chunks and ``documentation``, for functions and methods with a meaningful one.
 
-    Only names, places and comments move; bodies stay where they are unless ``keep`` asks for them.
+    Functions are delimited and comments attached in the files; chunks give the id of a function that starts on a line, and
+    the docstring of its body. A chunk of a file that is not there has its stored comment. Only names, places and comments
+    move; bodies stay where they are unless ``keep`` asks for them.
     """
+    files = written(parsed(documents), "parsed")
+    comments = attached(files).withColumnRenamed("line", "line_start")
+    found = delimited(files).select("file_path", "line_start").distinct().join(comments, ["file_path", "line_start"], "left").withColumn("delimited", F.lit(True))
     need = list(dict.fromkeys([*keep, "file_path", "name", "line_start", "doc_comment"]))
     functions = chunks.where(F.lower("kind").isin("function", "method") & F.col("id").isNotNull())
     functions = _with_docstring(functions, need)
-    lines = attached(lexed(documents)).withColumnRenamed("line", "line_start")
-    there = documents.where("file_path is not null and text is not null").select("file_path", F.lit(True).alias("there")).distinct()
-    joined = functions.join(there, "file_path", "left").join(lines, ["file_path", "line_start"], "left")
+    there = files.select("file_path", F.lit(True).alias("there")).distinct()
+    joined = functions.join(found, ["file_path", "line_start"], "left").join(there, "file_path", "left")
     stored = F.when(F.col("there").isNull(), F.col("doc_comment"))
-    rows = joined.where(F.coalesce("comment", "docstring", stored).isNotNull())
+    rows = joined.where(F.coalesce(F.col("delimited"), F.col("there").isNull()) & F.coalesce("comment", "docstring", stored).isNotNull())
     out = list(dict.fromkeys([*keep, "name"]))
-    found = _judged(rows.select(*out, "comment", "docstring", stored.alias("stored")), ["comment", "docstring", "stored"])
-    return found.select(*keep, "documentation").dropDuplicates([keep[0]])
+    judged = _judged(rows.select(*out, "comment", "docstring", stored.alias("stored")), ["comment", "docstring", "stored"])
+    return judged.select(*keep, "documentation").dropDuplicates([keep[0]])
 
 
 _FUNCTION = {
@@ -399,42 +413,25 @@ def _end_lines(text: str) -> list[dict]:
     return rows
 
 
-#: Languages whose functions are delimited by braces.
-BRACES = frozenset(_FUNCTION_RX)
-
-
 def _depth_lines(text: str, language: str) -> list[dict]:
     if language == "py":
         return _indent_lines(text)
     return _end_lines(text) if language == "rb" else _brace_lines(text, language)
 
 
-def delimited_functions(documents: DataFrame, path_column: str = "file_path", text_column: str = "text", languages: frozenset[str] = BRACES) -> DataFrame:
-    """(file_path, name, line_start, line_end) of the functions of ``languages``, ends exclusive, lines from 0.
+def delimited(files: DataFrame) -> DataFrame:
+    """(file_path, name, line_start, line_end) of the functions of parsed files, ends exclusive, lines from 0.
 
     The depth before and after a line is a running sum; a function ends on the first later line whose depth after it is
     not above the depth before its start. That line is found by a window over the rows of one depth level. Python's
     depth is that of its indents, Ruby's that of its blocks; they give a row per step, in order.
     """
-    row = pa.list_(pa.struct([("line", pa.int32()), ("up", pa.int32()), ("down", pa.int32()), ("name", pa.string())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            paths, rows = [], []
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                language = extension(path)
-                if text and language in languages and (got := _depth_lines(text, language)):
-                    paths.append(path)
-                    rows.append(got)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(rows, row)], names=["file_path", "rows"])
-
-    source = documents.select(documents[path_column].alias("file_path"), documents[text_column].alias("text"))
-    lines = source.mapInArrow(run, "file_path string, rows array<struct<line:int,up:int,down:int,name:string>>").select("file_path", F.posexplode("rows").alias("step", "row")).select("file_path", "step", "row.*")
-    upto = Window.partitionBy("file_path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    lines = files.select("file", "file_path", F.posexplode("steps").alias("step", "row")).select("file", "file_path", "step", "row.*")
+    upto = Window.partitionBy("file").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     depth = lines.withColumn("after", F.sum(F.col("up") - F.col("down")).over(upto)).withColumn("before", F.col("after") - F.col("up") + F.col("down"))
     one_line = (F.col("up") > 0) & (F.col("after") <= F.col("before"))
     level = F.when(F.col("name").isNotNull() & ~one_line, F.col("before")).otherwise(F.col("after"))
-    later = Window.partitionBy("file_path", "level").orderBy("step").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("file", "level").orderBy("step").rowsBetween(1, Window.unboundedFollowing)
     closes: Column = F.min(F.when((F.col("down") > 0) & (F.col("after") < F.col("before")), F.col("line"))).over(later)
     ends = F.when(one_line, F.col("line")).otherwise(closes)
     return (
@@ -443,3 +440,8 @@ def delimited_functions(documents: DataFrame, path_column: str = "file_path", te
         .where("name is not null and line_end is not null")
         .select("file_path", "name", F.col("line").alias("line_start"), "line_end")
     )
+
+
+def delimited_functions(documents: DataFrame, path_column: str = "file_path", text_column: str = "text", languages: frozenset[str] = CODE) -> DataFrame:
+    """(file_path, name, line_start, line_end) of the functions of ``languages`` in documents."""
+    return delimited(parsed(documents, path_column, text_column, languages))

@@ -217,7 +217,9 @@ def test_documented_functions(spark):
     assert df_.documented_functions(c.limit(0), docs).count() == 0
     assert sorted(r.id for r in df_.documented_functions(c, docs.limit(0)).collect()) == [0, 1, 2, 3, 9, 12]
     found = sorted((r.name, r.line_start, r.line_end) for r in df_.delimited_functions(docs).collect())
-    assert found == [("a", 2, 4), ("b", 7, 11), ("c", 12, 13), ("d", 14, 15)]
+    assert found == [("a", 2, 4), ("b", 7, 11), ("c", 12, 13), ("d", 14, 15), ("g", 0, 2)]
+    twice = sorted((r.name, r.line_start, r.line_end) for r in df_.delimited_functions(docs.union(docs)).collect())
+    assert twice == sorted(found * 2)
 
 
 PY = '''import os
@@ -300,7 +302,7 @@ def test_delimited_functions_by_indent_and_by_end(spark):
     texts = {"p/a.py": PY, "p/b.py": PY.replace("\n", "\r\n"), "p/c.py": PY.rstrip("\n"), "p/a.rb": RB, "p/b.rb": RB.replace("\n", "\r\n"), "p/a.rs": RS, "p/e.py": "", "p/f.rb": None}
     docs = spark.createDataFrame(list(texts.items()), "file_path string, text string")
     found = {}
-    for r in df_.delimited_functions(docs, languages=df_.CODE).collect():
+    for r in df_.delimited_functions(docs).collect():
         found.setdefault(r.file_path, []).append((r.name, r.line_start, r.line_end))
     assert {k: sorted(v, key=lambda x: x[1:]) for k, v in found.items()} == {
         **{f"p/{k}.py": sorted(PY_FUNCTIONS, key=lambda x: x[1:]) for k in "abc"},
@@ -312,7 +314,7 @@ def test_delimited_functions_by_indent_and_by_end(spark):
 def test_functions_query_holds_all_languages(spark, sf_dir):
     from sondage.llm.queries import QUERIES
 
-    chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet").where("kind in ('function', 'method') and (file_path like '%.py' or file_path like '%.rb')")
+    chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet").where("kind in ('function', 'method')")
     missing = chunks.select("file_path", "line_start", "line_end").distinct().join(QUERIES["p6_functions"](spark, sf_dir), ["file_path", "line_start", "line_end"], "left_anti")
     assert chunks.count() > 0 and missing.count() == 0
 
