@@ -15,6 +15,8 @@ _SLASH = r"(?P<c>//[^\n]*|/\*[\s\S]*?\*/)"
 _DQ = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _SQ = r"'(?:[^'\\\n]|\\[\s\S])*'"
 _REGEX = r"(?:(?<=[=(,:\[!&|?{};])|(?<=[=(,:\[!&|?{};]\s)|(?<=return\s))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
+# After the condition of a statement a slash opens a literal too; the condition is taken along.
+_REGEX += r"|\b(?:if|while|for|with)[ \t]*\((?:[^()'\"`/\n]|\([^()'\"`/\n]*\))*\)[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
 _PREPROCESSOR = r"(?P<p>^[ \t]*#[^\n]*(?:(?<=\\)\n[^\n]*)*)"
 
 _PATTERNS = {
