@@ -1,10 +1,12 @@
 r"""Source files that do not parse, per file, with rates per project and language.
 
 A lexer of the language finds literals and comments that never end; a pushdown stack over the remaining delimiters finds
-unbalanced ones and premature ends; then merge-conflict markers and stray patch hunks, block keywords without their
-``end``, and statements that the language's grammar has no place for (mostly another language's, under a wrong
-extension) are looked for in the lexed code. Files that come through this are read by the language's own parser where
-the standard library has one (Python, JSON, TOML): an exact check after the lexer.
+unbalanced ones and premature ends (of C, each branch of a conditional counts once, and what directives hold does not
+count); a stack of indents does so for Python's blocks, and one of the grammar's states for JSON. The states of adjacent
+tokens show operators without an operand and operands without an operator. Merge-conflict markers, stray patch hunks,
+block keywords without their ``end``, and statements that the language's grammar has no place for (mostly another
+language's, under a wrong extension) are looked for in the lexed code. Python, JSON and TOML are also read by the standard
+library's parser, an exact check: it decides, and the steps before it say what is wrong.
 
 Cases: a null or blank text and an extension outside the twelve languages give no verdict; CRLF, a missing final newline
 and a leading byte-order mark are no faults; very long texts are read whole; repeated rows each get their row; a table
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.lexers import LEXERS, Lexed, extension, unbalanced
+from sondage.functions.lexers import LEXERS, LITERAL, Lexed, extension, unbalanced
 
 #: Extension to the name of its language.
 LANGUAGES = {"py": "python", "rs": "rust", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "c": "c", "cpp": "cpp", "rb": "ruby", "json": "json", "toml": "toml", "css": "css"}
@@ -48,9 +50,10 @@ _WORDS["cpp"] = _WORDS["c"] + " class public private protected virtual override
 
 
 _WORDS["rb"] = "do then if unless and or not rescue end in while until def class module begin case for when yield return puts require include extend attr_reader attr_accessor raise super self nil true false alias undef redo retry break next ensure else elsif private public protected lambda proc defined print p loop"
+_WORDS["py"] = " ".join((*keyword.kwlist, *keyword.softkwlist))
 _RESERVED = {k: frozenset(v.split()) for k, v in _WORDS.items()}
 #: So many words in a row, none of them reserved, stand nowhere in the language.
-_RUN_LENGTH = {"js": 2, "ts": 2, "rs": 2, "go": 3, "java": 3, "c": 3, "cpp": 3, "rb": 3}
+_RUN_LENGTH = {"py": 2, "js": 2, "ts": 2, "rs": 2, "go": 3, "java": 3, "c": 3, "cpp": 3, "rb": 3}
 _RUN = re.compile(r"(?<![\w$.@#'\x01\x02:])[A-Za-z_$][\w$]*(?:[ \t]+[A-Za-z_$][\w$]*)+")
 
 
@@ -126,18 +129,54 @@ _RB_ENDLESS = re.compile(r"^[ \t]*def[ \t]+[\w.?!]+(?:\([^)\n]*\))?[ \t]*=[^=~>]
 _RB_END = re.compile(r"(?<![\w.:])end\b(?![?!:\w])")
 
 
+_BRANCH = re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b([^\n]*)", re.M)
+_ANY_DIRECTIVE = re.compile(r"^[ \t]*#[^\n]*(?:(?<=\\)\n[^\n]*)*", re.M)
+
+
+def _one_branch(code: str) -> str:
+    """Code of C without directives and with the first live branch of each conditional alone."""
+    pieces, at, skip, depth = [], 0, 0, 0
+    for m in _BRANCH.finditer(code):
+        word, dead = m[1], m[2].strip() == "0"
+        if word.startswith("if"):
+            depth += 1
+            if not skip and word == "if" and dead:
+                pieces.append(code[at : m.start()])
+                skip = depth
+        elif word == "endif":
+            if skip == depth:
+                skip, at = 0, m.start()
+            depth -= 1
+        elif skip == 0:
+            pieces.append(code[at : m.start()])
+            skip = depth
+    if not skip:
+        pieces.append(code[at:])
+    return _ANY_DIRECTIVE.sub("", "".join(pieces))
+
+
+# Operators that stand between two operands and nowhere else; signs that have other uses in a language are left out there.
+_BETWEEN = r"(?:(?<!\+)\+(?!\+)|(?<![*/])/(?![/*>])|%|\^|(?<!operator)[=!]=|<=(?!>)|>=(?!=)|(?<![\w.]operator)(?<![=!<>:+\-*/%&|^.~?\[])=(?![=>~])|[-+*/%|^]=)"
+_CLOSER_AFTER = re.compile(_BETWEEN + r"[ \t]*(?:\n[ \t]*)*[)\];,]")
+_OPENER_BEFORE = re.compile(r"[(\[,][ \t]*(?:%(?![\w(])|[=!]=|>=|=(?![=>\]&,~]))")
+_NO_VALUE = re.compile(r"(?:^|[;{])[ \t\n]*(?!--)[\w-]+[ \t]*:[ \t]*(?=[;}])")
+#: Languages whose tokens' states are looked at.
+_STATES = frozenset(("js", "ts", "rs", "go", "java", "c", "cpp"))
+
+
+def _operands(code: str, language: str) -> str | None:
+    """The states of adjacent tokens: an operator without its operand, or operands without an operator between."""
+    if language == "css":
+        return "missing operand" if _NO_VALUE.search(code) else None
+    if language in _STATES and (_CLOSER_AFTER.search(code) or _OPENER_BEFORE.search(code)):
+        return "missing operand"
+    if language in _RUN_LENGTH and _words_in_a_row(code, language):
+        return "missing operator"
+    return None
+
+
 def _statements(code: str, language: str) -> str | None:
     """What lexed code holds that the grammar of the language has no place for."""
-    if language in ("c", "cpp"):
-        depth = 0
-        for m in _DIRECTIVE.finditer(code):
-            if m[1] not in _DIRECTIVES:
-                return "foreign statement"
-            depth += m[1] in ("if", "ifdef", "ifndef")
-            depth -= m[1] == "endif"
-        if depth:
-            return "unbalanced directive"
-        code = re.sub(r"^[ \t]*#[^\n]*(?:(?<=\\)\n[^\n]*)*", "", code, flags=re.M)
     if language == "go":
         body = code.lstrip()
         if not body.startswith("package"):
@@ -148,8 +187,8 @@ def _statements(code: str, language: str) -> str | None:
         opens = len(_RB_OPEN.findall(code)) - len(_RB_LOOP_DO.findall(code)) - len(_RB_ENDLESS.findall(code))
         if opens != len(_RB_END.findall(code)):
             return "block without end"
-    if language in _RUN_LENGTH and _words_in_a_row(code, language):
-        return "foreign statement"
+    if found := _operands(code, language):
+        return found
     at_start, anywhere = _NEVER_RX[language]
     if at_start.search(code) or anywhere.search(code):
         return "foreign statement"
@@ -158,6 +197,94 @@ def _statements(code: str, language: str) -> str | None:
     return None
 
 
+def _directives(code: str) -> str | None:
+    """Unknown or unbalanced directives of C."""
+    depth = 0
+    for m in _DIRECTIVE.finditer(code):
+        if m[1] not in _DIRECTIVES:
+            return "foreign statement"
+        depth += m[1] in ("if", "ifdef", "ifndef")
+        depth -= m[1] == "endif"
+    return "unbalanced directive" if depth else None
+
+
+_PY_SIGN = re.compile(r"[()\[\]{}\n]")
+
+
+def _indents(text: str) -> str | None:
+    """Python's blocks by a stack of indents over logical lines."""
+
+    def swap(m: re.Match) -> str:
+        return "" if m.lastgroup == "c" else LITERAL
+
+    code = LEXERS["py"].sub(swap, text).replace("\\\n", " ") + "\n"
+    indents, opened, depth, at = [0], False, 0, 0
+    for m in _PY_SIGN.finditer(code):
+        if m[0] != "\n":
+            depth += 1 if m[0] in "([{" else -1
+            continue
+        if depth > 0:
+            continue
+        line, at = code[at : m.start()], m.end()
+        if not (bare := line.strip()):
+            continue
+        indent = len(line[: len(line) - len(line.lstrip())].rpartition("\f")[2].expandtabs(8))
+        if opened:
+            if indent <= indents[-1]:
+                return "block without body"
+            indents.append(indent)
+        elif indent > indents[-1]:
+            return "unexpected indent"
+        while indent < indents[-1]:
+            indents.pop()
+        if indent != indents[-1]:
+            return "uneven indent"
+        opened = bare.endswith(":")
+    return "premature end" if opened else None
+
+
+_JSON_TOKEN = re.compile(r"[{}\[\],:]|\x01|-?[0-9][0-9.eE+-]*|true\b|false\b|null\b|[^\s]")
+_PY_FOREIGN = re.compile(r"^[ \t]*(?://|\.\.\.[ \t]*[\w(])|::|;[ \t]*\n[ \t]*[{}]", re.M)
+_TOML_NO_VALUE = re.compile(r"=[ \t]*(?:\n|\Z)")
+
+
+def _json_states(code: str) -> str | None:
+    """JSON's grammar as a pushdown automaton: the stack holds what is open, the state what may come next."""
+    stack: list[str] = []
+    state = "value"
+    for token in _JSON_TOKEN.findall(code):
+        if token == "}" and stack and stack[-1] == "{" and state in ("key or end", "next") or token == "]" and stack and stack[-1] == "[" and state in ("value or end", "next"):
+            stack.pop()
+            state = "next" if stack else "done"
+        elif token in ("{", "["):
+            if not state.startswith("value"):
+                return "missing operator"
+            stack.append(token)
+            state = "key or end" if token == "{" else "value or end"
+        elif token == "," and state == "next":
+            state = "key" if stack[-1] == "{" else "value"
+        elif token == ":" and state == "colon":
+            state = "value"
+        elif token == LITERAL and state.startswith("key"):
+            state = "colon"
+        elif state.startswith("value") and (token == LITERAL or token[0] in "-0123456789" or len(token) > 1):
+            state = "next" if stack else "done"
+        else:
+            return "missing operand" if token in ("}", "]", ",", ":") else "missing operator"
+    return None if state == "done" else "premature end"
+
+
+def _said(text: str, code: str, language: str) -> str | None:
+    """What the automata say of a text that a parser refused."""
+    if language == "json":
+        return _json_states(code)
+    if language == "toml":
+        return "missing operand" if _TOML_NO_VALUE.search(code) else None
+    if _PY_FOREIGN.search(code):
+        return "foreign statement"
+    return _indents(text) or ("missing operator" if _words_in_a_row(code, "py") else None)
+
+
 def _refuse(constant: str) -> None:
     raise ValueError(constant)
 
@@ -251,7 +378,16 @@ def fault(text: str | None, language: str) -> str | None:
         return "merge conflict"
     if language != "css" and _HUNK.search(code):
         return "patch hunk"
-    return unbalanced(code) or (_parser(text, language) if language in ("py", "json", "toml") else _statements(code, language))
+    if language in ("c", "cpp"):
+        if wrong := _directives(code):
+            return wrong
+        code = _one_branch(code)
+    if wrong := unbalanced(code):
+        return wrong
+    if language not in ("py", "json", "toml"):
+        return _statements(code, language)
+    refused = _parser(text, language)
+    return refused and (_said(text, code, language) or refused)
 
 
 def parse_faults(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), path_column: str = "file_path", text_column: str = "text") -> DataFrame:

@@ -56,6 +56,20 @@ def test_wrong_extension(own):
         assert pf.fault(SOUND[own], other), (own, other)
 
 
+@pytest.mark.parametrize(
+    "language, text, wrong",
+    [
+        ("c", "#define F(x) {\nint a;\n", None), ("c", "#ifdef A\nif (x) {\n#else\nif (y) {\n#endif\n}\n", None), ("c", "#if 0\n}\n#endif\nint a;\n", None), ("c", "#ifdef A\nint a;\n", "unbalanced directive"), ("c", "int f(int a) { return (a + ) ; }\n", "missing operand"),
+        ("js", "if (x) /'/.test(y);\n", None), ("js", "const x = 1 +;\n", "missing operand"), ("js", "l: for (;;) { i++; --j; x = a / b / c; }\n", None), ("rs", "fn f() { let x = ; }\n", "missing operand"), ("rs", "fn f<T: A + 'static>(x: &mut T) -> Vec<u8> { x.iter().map(|v| v + 1).collect::<Vec<_>>() }\n", None),
+        ("css", "a { color: ; }\n", "missing operand"), ("css", "a { --x: ; color: red; }\n", None), ("cpp", "struct A { bool operator==(const A&) const; A& operator=(const A&) = default; };\nauto f = [=](int x) { return x; };\n", None),
+        ("java", "class A { List<? extends B> x = a >= b ? c : d; int[] y = {1, 2,}; }\n", None), ("go", "package a\n\nfunc f(a ...int) (x chan<- int) { x = make(chan int, 3); return }\n", None), ("ts", "const a = <T,>(x: T): T => x;\nfunction f(a?: number, ...b: string[]) { return a! + 1; }\nlet [, b = 2] = c;\n", None),
+        ("json", '{"a": [1, 2,]}', "missing operand"), ("json", '{"a" 1}', "missing operator"), ("json", "[1, 2] 3", "missing operator"), ("json", '{"a": 29; "b": 1}', "missing operator"), ("py", "def f():\n", "premature end"), ("py", "if x:\n    a\n  b\n", "uneven indent"), ("py", "a = 1\n  b = 2\n", "unexpected indent"), ("py", "def f():\nx = 1\n", "block without body"), ("py", "x = y z\n", "missing operator"),
+    ],
+)
+def test_states(language, text, wrong):
+    assert pf.fault(text, language) == wrong
+
+
 def test_fault_of_nothing():
     assert pf.fault(None, "py") is None and pf.fault("  \n", "py") is None and pf.fault("x (", "txt") is None
     assert pf.fault("x = 'a" + "b" * 200_000, "py") == "unterminated literal"
