@@ -10,6 +10,7 @@ import time
 
 from sondage import config as configuration
 from sondage.errors import SondageError
+from sondage.operators.embedding import embedder_of
 from sondage.plans import render
 from sondage.plans.index import build_index, index_status
 from sondage.plans.search import Mode, search
@@ -27,14 +28,18 @@ def parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name, help=text)
         c.add_argument("path", nargs="?", default=".")
         if name == "index":
+            c.add_argument("--model", help="directory with model.onnx and tokenizer.json, or 'dummy' for trials")
             c.add_argument("--force", action="store_true", help="index all files anew")
     c = sub.add_parser("search", help="search an index")
     c.add_argument("query")
     c.add_argument("--mode", default="hybrid", help=", ".join(m.value for m in Mode))
     c.add_argument("-k", "--top-k", type=int)
+    c.add_argument("--model", help="another model than the index was made with")
+    c.add_argument("--approximate", action="store_true", help="look into the nearest stored cells of vectors only")
     c.add_argument("--path", default=".")
     c = sub.add_parser("serve", help="answer requests over HTTP or standard input")
     c.add_argument("--path", default=".")
+    c.add_argument("--model", help="directory with model.onnx and tokenizer.json, or 'dummy' for trials")
     c.add_argument("--host")
     c.add_argument("--port", type=int)
     c.add_argument("--stdio", action="store_true", help="JSON-RPC on standard input and output")
@@ -49,6 +54,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if args.verbose else logging.WARNING, stream=sys.stderr)
     config = configuration.load(args.config) if args.config else configuration.Config()
+    if getattr(args, "model", None):
+        config.model = args.model
     root = str(Path(args.path).resolve())
     index = project_dir(config.index_dir, root)
     spark = session()
@@ -61,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(found) if args.json else "\n".join(f"{k}: {v}" for k, v in found.items()))
         elif args.command == "search":
             began = time.perf_counter()
-            hits = search(spark, index, args.query, args.mode, args.top_k or config.top_k, rrf_k=config.rrf_k, threshold=config.score_threshold)
+            hits = search(spark, index, args.query, args.mode, args.top_k or config.top_k, embedder=embedder_of(args.model) if args.model else None, rrf_k=config.rrf_k, threshold=config.score_threshold, approximate=args.approximate)
             if args.json:
                 rows = [json.loads(x) for x in render.as_json(hits)]
                 print(json.dumps({"results": rows, "total": len(rows), "duration_ms": int((time.perf_counter() - began) * 1000)}))

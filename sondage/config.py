@@ -10,10 +10,11 @@ from pathlib import Path
 
 @dataclass
 class Config:
-    """Defaults are fixed values of the search engine's data model."""
+    """Defaults are fixed values of the search engine's data model. ``model`` is the directory of an embedding model."""
 
     index_dir: str = str(Path.home() / ".sondage" / "indexes")
     exclude_patterns: list[str] = field(default_factory=lambda: ["*.min.js", "*.min.css", "*.lock", "package-lock.json", "yarn.lock"])
+    model: str = ""
     max_file_size: int = 10 * 1024 * 1024
     context_lines: int = 2
     top_k: int = 20

@@ -1,5 +1,7 @@
 """Lines of a text."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,3 +15,9 @@ def lines_of(text: Column) -> Column:
 def line_count(text: Column) -> Column:
     """The number of lines, at least 0; null for null."""
     return F.when(text.isNotNull(), F.size(lines_of(text)))
+
+
+def split_lines(text: str | None) -> list[str]:
+    """The same rule on the driver and in Python workers: lines end at a line feed, with or without a carriage return."""
+    lines = re.split("\r?\n", text or "")
+    return lines[:-1] if lines[-1] == "" else lines

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.functions.lexers import masked
-from sondage.functions.lines import lines_of
+from sondage.functions.lines import lines_of, split_lines
 from sondage.functions.paths import CONFIG_LANGUAGES, file_name, is_binary, language
 from sondage.schemas import CHUNKS
 
@@ -105,7 +105,7 @@ def _doc(text: str, start: int, comments: list[tuple[int, int]]) -> str | None:
             break
         found.append(text[a:z])
         start = a
-    cleaned = "\n".join(re.sub(r"^(?:///|//!|//|#)", "", line.strip()).strip() for block in reversed(found) for line in block.splitlines())
+    cleaned = "\n".join(re.sub(r"^(?:///|//!|//|#)", "", line.strip()).strip() for block in reversed(found) for line in split_lines(block))
     return cleaned if cleaned.strip() else None
 
 
@@ -117,7 +117,7 @@ def signature_of(body: str) -> str | None:
     head, colon, _ = body.partition(":")
     if colon and ("def " in head or "class " in head):
         return (head + ":").strip()
-    return next((line.strip() or None for line in body.splitlines()), None)
+    return next((line.strip() or None for line in split_lines(body)), None)
 
 
 def _found_python(text: str) -> list[tuple[int, int, str, str | None]]:
@@ -126,9 +126,7 @@ def _found_python(text: str) -> list[tuple[int, int, str, str | None]]:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
-    starts = [0]
-    for line in text.splitlines(keepends=True):
-        starts.append(starts[-1] + len(line))
+    starts = [0, *(m.end() for m in re.finditer("\r\n|\r|\n", text)), len(text)]
 
     def at(line: int, column: int) -> int:
         row = text[starts[line - 1] : starts[line]]
@@ -224,9 +222,7 @@ def cut(text: str, lang: str) -> list[dict]:
 
 
 def _blocks(text: str, name: str) -> list[dict]:
-    lines = re.split("\r?\n", text)
-    if lines and lines[-1] == "":
-        lines.pop()
+    lines = split_lines(text)
     out, at = [], 0
     for first in range(0, len(lines), BLOCK_LINES):
         last = min(first + BLOCK_LINES, len(lines))
@@ -241,7 +237,7 @@ def chunk_text(path: str, text: str, lang: str) -> list[dict]:
     """The chunks of one file. A config file is one chunk, or none if it is long."""
     name = path.rpartition("/")[2]
     if lang in CONFIG_LANGUAGES:
-        lines = text.splitlines()
+        lines = split_lines(text)
         if not lines or len(lines) > CONFIG_LINES:
             return []
         return [{"kind": "block", "name": name, "signature": None, "doc_comment": None, "body": text, "byte_start": 0, "byte_end": len(text.encode()), "line_start": 0, "line_end": len(lines)}]
@@ -276,12 +272,15 @@ def readable(files: DataFrame) -> DataFrame:
 
 def fallback_chunks(documents: DataFrame, path_column: str = "file_path", text_column: str = "text") -> DataFrame:
     """Blocks of BLOCK_LINES lines as expressions alone: (file_path, name, body, byte_start, byte_end, line_start, line_end)."""
-    rows = documents.select(F.col(path_column).alias("file_path"), lines_of(F.col(text_column)).alias("lines")).where(F.size("lines") > 0)
-    first = F.explode(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(BLOCK_LINES)))
-    rows = rows.select("file_path", "lines", first.alias("line_start"))
-    rows = rows.withColumn("line_end", F.least(F.col("line_start") + BLOCK_LINES, F.size("lines")))
-    body = F.array_join(F.slice("lines", F.col("line_start") + 1, F.col("line_end") - F.col("line_start")), "\n")
-    before = F.aggregate(F.slice("lines", F.lit(1), F.col("line_start")), F.lit(0).cast("bigint"), lambda s, x: s + F.octet_length(x) + 1)
-    rows = rows.withColumn("body", body).withColumn("byte_start", before)
+    lines = lines_of(F.col(text_column))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.size("lines") - 1, F.lit(BLOCK_LINES)),
+        lambda first: F.struct(first.alias("line_start"), F.array_join(F.slice("lines", first + 1, F.lit(BLOCK_LINES)), "\n").alias("body"), F.least(first + BLOCK_LINES, F.size("lines")).alias("line_end")),
+    )
+    # A block starts behind the blocks before it and a line end each: one running sum over the blocks of a file.
+    zero = F.struct(F.lit(0).cast("bigint").alias("next"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate("blocks", zero, lambda s, b: F.struct((s["next"] + F.octet_length(b["body"]) + 1).alias("next"), F.concat(s["starts"], F.array(s["next"])).alias("starts")))["starts"]
+    rows = documents.select(F.col(path_column).alias("file_path"), lines.alias("lines")).where(F.size("lines") > 0).select("file_path", blocks.alias("blocks"))
+    rows = rows.select("file_path", F.explode(F.arrays_zip("blocks", starts.alias("starts"))).alias("b")).select("file_path", "b.blocks.*", F.col("b.starts").alias("byte_start"))
     name = F.concat(file_name(F.col("file_path")), F.lit(":L"), (F.col("line_start") + 1).cast("string"), F.lit("-L"), F.col("line_end").cast("string"))
     return rows.select("file_path", name.alias("name"), "body", "byte_start", (F.col("byte_start") + F.octet_length("body")).alias("byte_end"), "line_start", "line_end")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -28,25 +29,39 @@ class DummyEmbedder:
 
     # Start, factor and step of the hash, and of the generator it seeds.
     START, FACTOR, MULTIPLIER, INCREMENT = 5381, 33, 6364136223846793005, 1442695040888963407
+    name = "dummy"
 
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
 
+    def _hash(self, texts: list[str]) -> np.ndarray:
+        """The running hash of every text, one byte of all texts at a time; modulo 2^64."""
+        data = [t.encode() for t in texts]
+        lengths = np.array([len(d) for d in data], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        starts = (np.cumsum(lengths) - lengths)[order]
+        state = np.full(len(texts), self.START, np.uint64)
+        alive = len(texts)
+        with np.errstate(over="ignore"):
+            for at in range(int(lengths.max(initial=0))):
+                while alive and lengths[order[alive - 1]] <= at:
+                    alive -= 1
+                state[:alive] = state[:alive] * np.uint64(self.FACTOR) + flat[starts[:alive] + at]
+        out = np.empty_like(state)
+        out[order] = state
+        return out
+
     def embed_batch(self, texts: list[str]) -> np.ndarray:
-        mask = (1 << 64) - 1
-        state = np.empty(len(texts), np.uint64)
-        for i, text in enumerate(texts):
-            h = self.START
-            for byte in text.encode():
-                h = (h * self.FACTOR + byte) & mask
-            state[i] = h
+        state = self._hash(texts)
         out = np.empty((len(texts), self.dimension), np.float32)
         with np.errstate(over="ignore"):
             for d in range(self.dimension):
                 state = state * np.uint64(self.MULTIPLIER) + np.uint64(self.INCREMENT)
                 out[:, d] = (state >> np.uint64(33)).astype(np.float32) / np.float32(4294967295) * np.float32(2) - np.float32(1)
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, length, out=out, where=length > 0)
+        wide = out.astype(np.float64)
+        length = np.sqrt((wide * wide).sum(axis=1, keepdims=True))
+        return np.divide(wide, length, out=wide, where=length > 0).astype(np.float32)
 
 
 class OnnxEmbedder:
@@ -57,6 +72,7 @@ class OnnxEmbedder:
 
     def __init__(self, model: str, tokenizer: str, dimension: int = DIMENSION, longest: int = 256, threads: int = 4):
         self.model, self.tokenizer, self.dimension, self.longest, self.threads = model, tokenizer, dimension, longest, threads
+        self.name = os.path.dirname(model)
         self._session = self._tokens = None
 
     def __getstate__(self):
@@ -89,6 +105,21 @@ class OnnxEmbedder:
         return (summed / np.maximum(np.linalg.norm(summed, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
+def embedder_of(model: str) -> Embedder:
+    """The embedder of a configured model: a directory with model.onnx and tokenizer.json, or ``dummy`` for trials.
+
+    There is no silent stand-in: without a model, or with files missing, this is an error.
+    """
+    if model == DummyEmbedder.name:
+        return DummyEmbedder()
+    if not model:
+        raise EmbedderError("no model: give a directory with model.onnx and tokenizer.json, or 'dummy' for trials")
+    files = [os.path.join(model, f) for f in ("model.onnx", "tokenizer.json")]
+    if missing := [f for f in files if not os.path.isfile(f)]:
+        raise EmbedderError(f"no embedder from {model}: {', '.join(missing)} missing")
+    return OnnxEmbedder(*files)
+
+
 def embed(rows: DataFrame, embedder: Embedder, text_column: str = "summary", batch_size: int = BATCH_SIZE) -> DataFrame:
     """(chunk_id, embedding) of the rows' texts; a null text is embedded as an empty one. One narrow pass."""
 

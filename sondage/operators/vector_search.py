@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TOP_K = 20
+#: Queries that one exact batch search takes, as they are sent to all tasks.
+MOST_QUERIES = 16_384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,45 +66,102 @@ def search_vector(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K
     return best.where(F.col("score") >= threshold)
 
 
-def lsh_model(vectors: DataFrame, tables: int = 12, bucket: float = 0.8, seed: int = 7, vector_column: str = "embedding"):
-    """A random-projection index over usable vectors of unit length: (model, hashed rows with id columns kept)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    length = norm(F.col(vector_column))
-    rows = normalised(vectors.where(F.col(vector_column).isNotNull() & (length > 0) & ~F.isnan(length)), vector_column)
-    rows = rows.withColumn("features", array_to_vector(F.col(vector_column).cast("array<double>")))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    return model, model.transform(rows)
-
-
-def search_lsh(model, hashed: DataFrame, query: Sequence[float], top_k: int = TOP_K, threshold: float = 0.0, id_column: str = "chunk_id") -> DataFrame:
-    """(chunk_id, score): approximate search; rows that share no bucket with the query are not looked at."""
-    from pyspark.ml.linalg import Vectors
-
-    length = math.sqrt(sum(float(x) ** 2 for x in query)) or 1.0
-    near = model.approxNearestNeighbors(hashed, Vectors.dense([float(x) / length for x in query]), top_k, distCol="distance")
-    score = F.lit(1.0) - F.col("distance") * F.col("distance") / 2
-    return near.select(F.col(id_column).alias("chunk_id"), score.alias("score")).where(score >= threshold).orderBy(F.desc("score"), "chunk_id")
+#: Vectors that cells are fitted on, most cells, rounds of the fit, and the share of cells a search looks into.
+FIT_ROWS, MOST_CELLS, FIT_ROUNDS, PROBED = 20_000, 1024, 8, 0.35
+
+
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column with ``dim`` elements, as unit vectors, and which they are; zero and NaN rows stay out."""
+    sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
+    fits = np.flatnonzero((sizes == dim) & column.is_valid().to_numpy(zero_copy_only=False))
+    m = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), dim)
+    length = np.linalg.norm(m, axis=1)
+    good = np.isfinite(length) & (length > 0)
+    return m[good] / length[good, None], fits[good]
+
+
+def fit_cells(vectors: DataFrame, seed: int = 7, id_column: str = "chunk_id", vector_column: str = "embedding") -> DataFrame:
+    """(cell, centroid): spherical k-means on at most FIT_ROWS vectors, chosen by the hash of their ids; all rows are put
+    into cells later. There are about sqrt(rows) cells, MOST_CELLS at most, so the driver's share is bounded."""
+    spark = vectors.sparkSession
+    n = vectors.where(F.col(vector_column).isNotNull()).count()
+    hashed = F.pmod(F.xxhash64(F.lit(seed), id_column), F.lit(1 << 40))
+    cut = int(min(1.0, 1.2 * FIT_ROWS / max(n, 1)) * (1 << 40))
+    sample = vectors.where(F.col(vector_column).isNotNull() & (hashed < cut)).orderBy(hashed, id_column).limit(FIT_ROWS).select(vector_column).toArrow().column(0).combine_chunks()
+    sizes = np.diff(sample.offsets.to_numpy()) if len(sample) else np.zeros(0, int)
+    dim = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+    x = _matrix(sample, dim)[0] if dim else np.empty((0, 1))
+    cells = int(min(MOST_CELLS, max(1, round(math.sqrt(n))), max(len(x), 1)))
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), cells, replace=False)] if len(x) else np.zeros((0, dim))
+    for _ in range(FIT_ROUNDS if len(x) else 0):
+        nearest = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(x), 4096)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+    return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "cell int, centroid array<float>")
+
+
+def _centres(centroids: DataFrame) -> np.ndarray:
+    """At most MOST_CELLS rows for the driver."""
+    rows = sorted(centroids.limit(MOST_CELLS).collect(), key=lambda r: r.cell)
+    return np.array([r.centroid for r in rows], np.float64) if rows else np.empty((0, 0))
+
+
+def in_cells(vectors: DataFrame, centroids: DataFrame, id_column: str = "chunk_id", vector_column: str = "embedding") -> DataFrame:
+    """(cell, chunk_id, embedding): every vector in the cell of its nearest centroid; -1 for those without a direction
+    and those of another length. One narrow pass."""
+    centres = _centres(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = np.full(b.num_rows, -1, np.int32)
+            if len(centres):
+                unit, rows = _matrix(b.column(1), centres.shape[1])
+                cell[rows] = (unit @ centres.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0), b.column(1)], names=["cell", "chunk_id", "embedding"])
+
+    source = vectors.select(F.col(id_column).cast("bigint").alias("chunk_id"), F.col(vector_column).cast("array<float>").alias("embedding"))
+    return source.mapInArrow(run, "cell int, chunk_id bigint, embedding array<float>")
+
+
+def probes(centres: np.ndarray, query: Sequence[float], share: float = PROBED) -> list[int]:
+    """The cells a query looks into: those of the nearest centroids."""
+    if not len(centres) or len(query) != centres.shape[1]:
+        return []
+    order = np.argsort(-(centres @ np.asarray(query, np.float64)), kind="stable")
+    return [int(i) for i in order[: max(1, math.ceil(share * len(centres)))]]
+
+
+def search_cells(stored: DataFrame, centroids: DataFrame, query: Sequence[float], top_k: int = TOP_K, threshold: float = 0.0, share: float = PROBED) -> DataFrame:
+    """(chunk_id, score): approximate search in rows stored by cell (cell, chunk_id, embedding). The cells become a filter
+    that reaches the scan; rows in other cells are not looked at, nor scored."""
+    asked = probes(_centres(centroids), query, share)
+    return search_vector(stored.where(F.col("cell").isin(asked) if asked else F.lit(False)), query, top_k, threshold)
 
 
 def search(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K, threshold: float = 0.0, method: str = "exact", id_column: str = "chunk_id", vector_column: str = "embedding") -> DataFrame:
-    """Exact search by default; ``method="lsh"`` trades recall for looking at fewer rows."""
+    """Exact search by default; ``method="cells"`` trades recall for looking at fewer rows. An index keeps the cells; for
+    other vectors they are made here, which pays off for many queries only."""
     if method == "exact":
         return search_vector(vectors, query, top_k, threshold, id_column=id_column, vector_column=vector_column)
-    if method != "lsh":
+    if method != "cells":
         raise ValueError(f"no such method: {method}")
-    model, hashed = lsh_model(vectors, vector_column=vector_column)
-    return search_lsh(model, hashed, query, top_k, threshold, id_column)
+    centroids = fit_cells(vectors, id_column=id_column, vector_column=vector_column)
+    return search_cells(in_cells(vectors, centroids, id_column, vector_column), centroids, query, top_k, threshold)
 
 
 def search_vectors(vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K, block: int = 2048, id_column: str = "chunk_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, chunk_id, score): exact search for a stated set of queries against all rows, in blocks.
 
-    ``queries`` (query_id, embedding) goes to the executors in blocks of a fixed size; every task keeps the best of a
-    block for what it read, and a partial top-k aggregation merges them.
+    ``queries`` (query_id, embedding), MOST_QUERIES at most, goes to the executors in blocks of a fixed size; every task
+    keeps the best of a block for what it read, and a partial top-k aggregation merges them. More queries are an error: ask
+    in parts, or search approximately.
     """
-    asked = queries.select("query_id", "embedding").collect()
+    asked = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries at once")
     source = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("v")).where("id is not null and v is not null and size(v) > 0")
     out = None
     for start in range(0, len(asked), block):

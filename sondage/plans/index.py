@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sondage.config import Config
 from sondage.operators import incremental
 from sondage.operators.chunking import chunk_files, readable
-from sondage.operators.embedding import DummyEmbedder, Embedder, embed
-from sondage.operators.postings import build_postings, remove_chunks
+from sondage.operators.embedding import Embedder, embed, embedder_of
+from sondage.operators.postings import build_postings
 from sondage.operators.summary import summaries
 from sondage.sources.index_store import IndexStore
 from sondage.sources.scan import indexable, scan
@@ -32,44 +32,50 @@ def build_tables(files: DataFrame, embedder: Embedder) -> dict[str, DataFrame]:
     }
 
 
-def apply_changes(old: dict[str, DataFrame], files: DataFrame, gone: DataFrame, embedder: Embedder) -> dict[str, DataFrame]:
-    """The tables after indexing ``files`` anew and dropping the paths of ``gone`` (path)."""
+def changed_rows(state: DataFrame, files: DataFrame, gone: DataFrame, embedder: Embedder) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """What indexing ``files`` anew and dropping the paths of ``gone`` (path) comes to: fresh rows of all tables, the
+    stale chunks (chunk_id) and the paths whose state goes."""
     fresh = build_tables(files, embedder)
-    paths = files.select(F.col("file_path").alias("path")).unionByName(gone.select("path")).distinct()
-    stale = written(incremental.chunk_ids_of(old["file_state"], paths).distinct(), "stale")
-    return {
-        "chunks": remove_chunks(old["chunks"], stale, "id").unionByName(fresh["chunks"]),
-        "vectors": remove_chunks(old["vectors"], stale).unionByName(fresh["vectors"]),
-        "postings": remove_chunks(old["postings"], stale).unionByName(fresh["postings"]),
-        "file_state": incremental.remove_files(old["file_state"], paths).unionByName(fresh["file_state"]),
-    }
+    paths = written(files.select(F.col("file_path").alias("path")).unionByName(gone.select("path")).distinct(), "paths")
+    stale = written(incremental.chunk_ids_of(state, paths).distinct(), "stale")
+    return fresh, stale, paths
 
 
 def build_index(spark: SparkSession, root: str, index: str, config: Config | None = None, embedder: Embedder | None = None, force: bool = False) -> dict[str, int]:
     """Index the source files under ``root`` into the directory ``index``; only changed ones unless ``force``.
 
-    Content is read of new files and of those whose time differs. Returns how many files were changed, deleted and left
-    as they were, and how many chunks there are; nothing is written if nothing changed.
+    Content is read of new files and of those whose time differs; an equal file gets its new time recorded, so it is not
+    read again. Returns how many files were changed, deleted and left as they were, and how many chunks there are. What is
+    written is what changed, nothing if nothing did.
     """
-    config, embedder = config or Config(), embedder or DummyEmbedder()
+    config = config or Config()
+    embedder = embedder or embedder_of(config.model)
+    model = getattr(embedder, "name", "")
     store = IndexStore(spark, index)
-    old = store.tables() if not force else {name: store.empty(name) for name in ("chunks", "vectors", "postings", "file_state")}
+    there = store.exists() and not force
+    state = store.read("file_state") if there else store.empty("file_state")
     listed = indexable(scan(spark, root, config), config.max_file_size)
-    known = old["file_state"].select("path", F.col("mtime").alias("was"))
+    known = state.select("path", F.col("mtime").alias("was"))
     touched = listed.join(known, "path", "left").where(F.col("was").isNull() | (F.col("was") != F.col("modificationTime")))
     read = written(readable(touched.drop("was")), "files")
     hashes = read.select(F.col("file_path").alias("path"), incremental.content_hash(F.col("text")).alias("content_hash"))
     current = listed.select("path", F.col("modificationTime").alias("mtime")).join(hashes, "path", "left")
-    status = written(incremental.detect_changes(current, old["file_state"]), "status")
+    status = written(incremental.detect_changes(current, state), "status")
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-    changed = read.join(status.where("status = 'changed'").select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    gone = status.where("status = 'deleted'").select("path")
-    if store.exists() and not force and not counts.get("changed") and not counts.get("deleted"):
-        chunks = store.meta().first().chunk_count
-    else:
-        store.write(apply_changes(old, changed, gone, embedder), embedder.dimension)
-        chunks = store.meta().first().chunk_count
-    return {"changed": counts.get("changed", 0), "deleted": counts.get("deleted", 0), "unchanged": counts.get("unchanged", 0), "chunks": chunks}
+
+    def of(kind: str) -> DataFrame:
+        return read.join(status.where(F.col("status") == kind).select(F.col("path").alias("file_path")), "file_path", "left_semi")
+
+    touched_only = written(state.drop("mtime").join(of("unchanged").select(F.col("file_path").alias("path"), "mtime"), "path").select(state.columns), "touched")
+    refreshed = not touched_only.isEmpty()
+    if not there or counts.get("changed") or counts.get("deleted") or refreshed:
+        fresh, stale, paths = changed_rows(state, of("changed"), status.where("status = 'deleted'").select("path"), embedder)
+        if there:
+            fresh["file_state"] = fresh["file_state"].unionByName(touched_only)
+            store.append(fresh, stale, paths.unionByName(touched_only.select("path")), embedder.dimension, model)
+        else:
+            store.write(fresh, embedder.dimension, model)
+    return {"changed": counts.get("changed", 0), "deleted": counts.get("deleted", 0), "unchanged": counts.get("unchanged", 0), "chunks": store.meta().first().chunk_count}
 
 
 def index_status(spark: SparkSession, index: str) -> dict:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from sondage.functions.lines import split_lines
+
 _BOLD, _CYAN, _DIM, _END = "\033[1m", "\033[36m", "\033[2m", "\033[0m"
 
 
@@ -14,7 +16,7 @@ def as_json(results: DataFrame) -> list[str]:
 
 
 def _head(row) -> list[str]:
-    return [row.signature] if row.signature else (row.body or "").splitlines()[:3]
+    return [row.signature] if row.signature else split_lines(row.body)[:3]
 
 
 def coloured(results: DataFrame) -> str:
@@ -26,9 +28,8 @@ def coloured(results: DataFrame) -> str:
     return "\n".join(out) if out else "No results found."
 
 
-def block(results: DataFrame, seconds: float = 0.0) -> str:
-    """For a tool's output: every result with its signature and the first five lines."""
-    rows = results.collect()
+def block(rows: list[Row], seconds: float = 0.0) -> str:
+    """For a tool's output: every row of a result with its signature and the first five lines."""
     if not rows:
         return "No results found."
     out = [f"{len(rows)} results in {seconds * 1000:.0f} ms"]
@@ -36,5 +37,5 @@ def block(results: DataFrame, seconds: float = 0.0) -> str:
         out.append(f"\n[{n}] {r.name or '-'} ({r.kind}), {r.file_path} lines {r.line_start + 1}-{r.line_end}, score {r.fused_score:.4f}")
         if r.signature:
             out.append(f"signature: {r.signature}")
-        out += ["```", *(r.body or "").splitlines()[:5], "```"]
+        out += ["```", *split_lines(r.body)[:5], "```"]
     return "\n".join(out)

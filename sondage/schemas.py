@@ -21,6 +21,8 @@ CHUNKS = T.StructType(
     ]
 )
 VECTORS = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+CELLS = T.StructType([T.StructField("cell", T.IntegerType()), *VECTORS.fields])
+CENTROIDS = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("centroid", T.ArrayType(T.FloatType()))])
 POSTINGS = T.StructType([T.StructField("token", T.StringType()), T.StructField("chunk_id", T.LongType()), T.StructField("freq", T.LongType())])
 FILE_STATE = T.StructType(
     [

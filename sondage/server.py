@@ -84,7 +84,8 @@ def call(service: Service, request: dict) -> dict | None:
         try:
             if name == "search":
                 began = time.perf_counter()
-                text = render.block(service.hits(**asked), time.perf_counter() - began)
+                rows = service.hits(**asked).collect()
+                text = render.block(rows, time.perf_counter() - began)
             elif name in ("index", "status"):
                 text = json.dumps(getattr(service, name)(**asked))
             else:

@@ -15,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sondage.config import Config
 from sondage.operators.chunking import readable
-from sondage.operators.embedding import DummyEmbedder, Embedder
-from sondage.plans.index import apply_changes, build_index
+from sondage.operators.embedding import Embedder, embedder_of
+from sondage.plans.index import build_index, changed_rows
 from sondage.sources.index_store import IndexStore
 from sondage.sources.scan import watched
 
@@ -38,20 +38,23 @@ def last_events(events: DataFrame) -> DataFrame:
 
 
 def process_events(spark: SparkSession, events: DataFrame, index: str, embedder: Embedder | None = None, read: Callable[[DataFrame], DataFrame] | None = None) -> bool:
-    """Bring an index up to a batch of events; whether anything was written.
+    """Bring an index up to a batch of events by a segment of what changed; whether anything was written.
 
     Deletions and the old chunks of changed files go first. A changed file that cannot be read, or is no source text,
     is left out. ``read`` gives raw files (path, modificationTime, length, content) of paths.
     """
-    embedder = embedder or DummyEmbedder()
     store = IndexStore(spark, index)
+    there = store.exists()
+    embedder = embedder or embedder_of(store.manifest()["model"] if there else "")
     last = last_events(events).persist()
     try:
         if last.isEmpty():
             return False
         changed = last.where("op = 'changed'").select("path")
         files = (read or _read_files)(changed)
-        store.write(apply_changes(store.tables(), readable(watched(files)), last.select("path"), embedder), embedder.dimension)
+        state = store.read("file_state") if there else store.empty("file_state")
+        fresh, stale, paths = changed_rows(state, readable(watched(files)), last.select("path"), embedder)
+        store.append(fresh, stale, paths, embedder.dimension, getattr(embedder, "name", ""))
         return True
     finally:
         last.unpersist()

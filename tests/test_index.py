@@ -89,6 +89,87 @@ def test_build_update_search(spark, tree, tmp_path):
     assert index_status(spark, index)["version"] == 2
 
 
+def _files(index):
+    return {str(p.relative_to(index)) for p in index.rglob("*.parquet")}
+
+
+def test_one_changed_file_is_one_small_segment(spark, tree, tmp_path):
+    """A change writes its own rows: the files of the segments before stay as they are, and a touched file only its time."""
+    index, e = tmp_path / "inc", DummyEmbedder(8)
+    for i in range(6):
+        (tree / "src" / f"m{i}.py").write_text(PY.replace("Box", f"Box{i}"))
+    build_index(spark, str(tree), str(index), embedder=e)
+    before = {p: (index / p).stat().st_mtime_ns for p in _files(index)}
+    (tree / "src" / "m3.py").write_text(PY.replace("Box", "Crate"))
+    os.utime(tree / "src" / "m3.py", (time.time() + 9, time.time() + 9))
+    os.utime(tree / "src" / "m4.py", (time.time() + 9, time.time() + 9))
+    counts = build_index(spark, str(tree), str(index), embedder=e)
+    assert (counts["changed"], counts["deleted"], counts["unchanged"]) == (1, 0, 7)
+    assert {p: (index / p).stat().st_mtime_ns for p in before} == before
+    new = spark.read.parquet(str(index / "segments" / "2" / "chunks"))
+    assert {r.file_path.rpartition("/")[2] for r in new.collect()} == {"m3.py"} and new.count() == 3
+    store = IndexStore(spark, str(index))
+    assert store.manifest()["segments"] == [1, 2] and counts["chunks"] == store.read("chunks").count()
+    assert store.meta().first().files == store.read("file_state").count() == 8
+    names = {r.name for r in store.read("chunks").collect()}
+    assert "Crate" in names and "Box3" not in names and "Box4" in names
+    assert build_index(spark, str(tree), str(index), embedder=e)["unchanged"] == 8 and store.current() == 2
+
+
+def test_segments_are_put_together(spark, tree, tmp_path, monkeypatch):
+    from sondage.sources import index_store
+
+    monkeypatch.setattr(index_store, "SEGMENTS", 2)
+    index, e = str(tmp_path / "many"), DummyEmbedder(8)
+    for i in range(3):
+        (tree / "src" / "box.py").write_text(PY.replace("Box", f"Box{i}"))
+        os.utime(tree / "src" / "box.py", (time.time() + 9 * i, time.time() + 9 * i))
+        build_index(spark, str(tree), index, embedder=e)
+    store = IndexStore(spark, index)
+    assert len(store.manifest()["segments"]) == 1
+    assert {"Box2", "open_gate"} <= {r.name for r in store.read("chunks").collect()} and "Box1" not in {r.name for r in store.read("chunks").collect()}
+    assert store.read("cells").count() == store.read("vectors").count() == store.read("chunks").count()
+
+
+def test_a_writer_that_dies_leaves_the_version_before(spark, tree, tmp_path, monkeypatch):
+    index, e = str(tmp_path / "dies"), DummyEmbedder(8)
+    build_index(spark, str(tree), index, embedder=e)
+    (tree / "src" / "gate.rs").unlink()
+
+    def dies(self, n):
+        raise KeyboardInterrupt
+
+    for step in ("_name", "_publish", "_write_cells"):
+        with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+            m.setattr(IndexStore, step, lambda self, *_: dies(self, 0))
+            build_index(spark, str(tree), index, embedder=e)
+        store = IndexStore(spark, index)
+        assert store.current() == 1 and store.read("file_state").count() == 2 and "open_gate" in {r.name for r in store.read("chunks").collect()}
+    assert build_index(spark, str(tree), index, embedder=e)["deleted"] == 1
+    assert IndexStore(spark, index).read("file_state").count() == 1
+
+
+def test_no_silent_stand_in(spark, tree, tmp_path):
+    from sondage.errors import EmbedderError
+    from sondage.operators.embedding import embedder_of
+
+    for model in ("", str(tmp_path)):
+        with pytest.raises(EmbedderError):
+            build_index(spark, str(tree), str(tmp_path / "none"), Config(model=model))
+    assert not IndexStore(spark, str(tmp_path / "none")).exists() and embedder_of("dummy").dimension == 384
+    build_index(spark, str(tree), str(tmp_path / "some"), Config(model="dummy"))
+    assert IndexStore(spark, str(tmp_path / "some")).manifest()["model"] == "dummy"
+    exact, near = (search(spark, str(tmp_path / "some"), "open a gate", "semantic", 3, approximate=x).collect() for x in (False, True))
+    assert len(exact) == 3 and near
+
+
+def test_lines_end_at_line_feeds_alone():
+    text = "x = 1\n\x0c\ndef a():\n    return 1\n\u2028\nclass B:\n    def m(self):\n        pass\n".replace("\u2028", "# \u2028 z")
+    for c in chunking.chunk_text("a.py", text, "python"):
+        assert c["body"].startswith(("def a():", "class B:", "def m(self):")) and text.encode()[c["byte_start"] : c["byte_end"]].decode() == c["body"]
+        assert c["body"].split("\n")[0] == text.split("\n")[c["line_start"]].strip()
+
+
 def test_detect_and_state(spark):
     state = spark.createDataFrame([("a", "h1", [1, 2]), ("b", "h2", [3, 4]), ("c", "h3", [5])], "path string, content_hash string, chunk_ids array<bigint>").withColumn("mtime", F.timestamp_seconds(F.lit(1)))
     left, ids = incremental.apply_deletions(state, spark.createDataFrame([("a",), ("c",)], "path string"))
@@ -150,7 +231,7 @@ def test_config(tmp_path):
 def test_wrappers(spark, tree, tmp_path):
     from sondage.server import Service, answer, call
 
-    s = Service(spark, str(tree), str(tmp_path / "i"), Config())
+    s = Service(spark, str(tree), str(tmp_path / "i"), Config(model="dummy"))
     assert answer(s, "GET", "/health", b"")[0] == 200
     assert answer(s, "POST", "/search", b'{"query": "x"}')[0] == 404
     assert answer(s, "POST", "/index", b"{}")[1]["changed"] == 2

@@ -150,17 +150,24 @@ def test_hybrid(spark):
         Mode.parse("nope")
 
 
-def test_lsh_recall(spark):
+def test_recall_of_cells(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((30, 16))[rng.integers(0, 30, 600)] + rng.standard_normal((600, 16)) * 0.3
-    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 16)], "chunk_id bigint, embedding array<float>")
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [1.0, float("nan")])], "chunk_id bigint, embedding array<float>")
+    centroids = vector_search.fit_cells(v)
+    stored = vector_search.in_cells(v, centroids).cache()
+    assert stored.count() == 603 and stored.where("cell = -1").count() == 3 and centroids.count() == 25
     hits = 0
-    for i in range(0, 600, 120):
+    for i in range(0, 600, 60):
         exact = {r.chunk_id for r in vector_search.search(v, x[i], 5).collect()}
-        hits += len(exact & {r.chunk_id for r in vector_search.search(v, x[i], 5, method="lsh").collect()})
-    assert hits >= 0.9 * 25
+        hits += len(exact & {r.chunk_id for r in vector_search.search_cells(stored, centroids, x[i], 5).collect()})
+    assert hits >= 0.9 * 50
+    assert vector_search.search(v, x[0], 5, method="cells").count() == 5
+    assert vector_search.search(v.limit(0), x[0], 5, method="cells").count() == 0
     with pytest.raises(ValueError):
         vector_search.search(v, x[0], method="graph")
+    with pytest.raises(ValueError):
+        vector_search.search_vectors(v, spark.range(vector_search.MOST_QUERIES + 1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("embedding")))
 
 
 def test_quick_test_of_whole_texts(spark):
