@@ -14,11 +14,11 @@ have the recorded hash; empty tables are no special case.
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from sondage.storage import written
 
 
 def valid_states(file_state: DataFrame, runs: DataFrame) -> DataFrame:
@@ -53,15 +53,21 @@ def detect(documents: DataFrame, states: DataFrame, path: str = "file_path", tex
 
 
 class ChangeLog:
-    """Batches of changes under ``root``: ``plan/<batch>`` ahead of the work, ``done/<batch>`` after it, ``sink``.
+    """Batches of changes under ``root``: ``plan/<batch>`` and ``offsets/<batch>`` ahead of the work, ``done/<batch>`` after
+    it, ``sink/<batch>``.
+
+    Partitions are those of the batch: a change set of any size is range partitioned by path into as many as it needs, and
+    a row's offset is its place in its partition. The offsets of a batch start where those of the batch before ended, which
+    its ``offsets`` table tells, so no run reads history. A batch has one place in the sink and a replay writes it anew:
+    the sink does not grow by replays. ``apply`` may run twice when a crash falls between it and the done mark, so it gets
+    the batch's name to be idempotent by.
 
     A plan is complete once Spark has written its ``_SUCCESS`` file; a plan without one is made anew, since nothing was
     delivered from it. A complete plan without a done mark is replayed as it stands, whatever the sources say by then.
     """
 
-    def __init__(self, spark: SparkSession, root: str, partitions: int | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, root: str, rows: int = 1_000_000):
+        self.spark, self.root, self.rows = spark, root.rstrip("/"), rows
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -75,31 +81,38 @@ class ChangeLog:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{name}")))
 
     def batches(self) -> list[str]:
-        return [b for b in self._names("plan") if self._has(f"plan/{b}/_SUCCESS")]
+        return [b for b in self._names("plan") if self._has(f"plan/{b}/_SUCCESS") and self._has(f"offsets/{b}/_SUCCESS")]
 
     def pending(self) -> list[str]:
         return [b for b in self.batches() if not self._has(f"done/{b}")]
 
     def offsets(self) -> DataFrame:
-        """(partition, next_offset) after all complete plans; at most ``partitions`` rows."""
+        """(partition, next_offset) after the last complete plan: one row a partition that was ever used."""
         if not (found := self.batches()):
             return self.spark.createDataFrame([], "partition int, next_offset bigint")
-        return self._read([f"plan/{b}" for b in found]).groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
+        return self._read([f"offsets/{found[-1]}"])
 
     def _read(self, names: list[str]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.root}/{n}" for n in names])
 
     def plan(self, changes: DataFrame) -> str:
-        """Write the next batch ahead of its work; returns its name. ``changes`` has path and status at least."""
-        batch = f"{len(self._names('plan')):012d}"
-        place = Window.partitionBy("partition").orderBy("path", "status")
-        placed = changes.withColumn("partition", F.pmod(F.xxhash64("path"), F.lit(self.partitions)).cast("int")).withColumn("n", F.row_number().over(place))
-        if self.batches():
-            placed = placed.join(F.broadcast(self.offsets()), "partition", "left").withColumn("base", F.coalesce("next_offset", F.lit(0))).drop("next_offset")
-        else:
-            placed = placed.withColumn("base", F.lit(0))
-        out = placed.withColumn("offset", (F.col("base") + F.col("n") - 1).cast("bigint")).drop("n", "base")
+        """Write the next batch ahead of its work; returns its name. ``changes`` has path and status at least.
+
+        Rows are cut into as many ranges of about ``rows`` as there are; places come from the order in a range.
+        """
+        batch = f"{len(self.batches()):012d}"
+        found = written(changes, "found")
+        parts = max(1, -(-found.count() // self.rows))
+        cut = found.repartitionByRange(parts, "path", "status").sortWithinPartitions("path", "status")
+        held = written(cut.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+        rows = held.withColumn("partition", F.shiftright("_at", 33).cast("int"))
+        before = self.offsets()
+        counts = rows.groupBy("partition").agg(F.min("_at").alias("first"), F.count(F.lit(1)).alias("n"))
+        bases = written(counts.join(before, "partition", "left").select("partition", "first", "n", F.coalesce("next_offset", F.lit(0)).alias("base")), "bases")
+        out = rows.join(F.broadcast(bases.select("partition", "first", "base")), "partition").withColumn("offset", F.col("base") + F.col("_at") - F.col("first")).drop("_at", "first", "base")
         out.write.mode("overwrite").parquet(f"{self.root}/plan/{batch}")
+        ended = bases.select("partition", (F.col("base") + F.col("n")).alias("next_offset"))
+        ended.unionByName(before.join(bases, "partition", "left_anti")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/offsets/{batch}")
         return batch
 
     def deliver(self, apply=None) -> list[str]:
@@ -109,16 +122,17 @@ class ChangeLog:
             rows = self._read([f"plan/{batch}"])
             if apply is not None:
                 apply(rows, batch)
-            rows.write.mode("append").parquet(f"{self.root}/sink/{uuid.uuid4().hex}")
+            rows.write.mode("overwrite").parquet(f"{self.root}/sink/{batch}")
             mark = self._fs.create(self._path(f"{self.root}/done/{batch}"), True)
             mark.write(bytearray(json.dumps({"batch": batch}).encode()))
             mark.close()
             ran.append(batch)
         return ran
 
-    def sink(self) -> DataFrame:
-        """What was delivered, each key and offset once, however often a batch was replayed."""
-        if not (parts := [p for p in self._names("sink") if self._has(f"sink/{p}/_SUCCESS")]):
+    def sink(self, batch: str | None = None) -> DataFrame:
+        """What was delivered, each key and offset once, however often a batch was replayed; of one batch or of all."""
+        names = self._names("sink") if batch is None else [batch]
+        if not (parts := [p for p in names if self._has(f"sink/{p}/_SUCCESS")]):
             return self.spark.createDataFrame([], "path string, status string, content_hash string, partition int, offset bigint")
         return self._read([f"sink/{p}" for p in parts]).dropDuplicates(["path", "partition", "offset"])
 

@@ -66,8 +66,8 @@ def search_vector(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K
     return best.where(F.col("score") >= threshold)
 
 
-#: Vectors that cells are fitted on, most cells, rounds of the fit, and the share of cells a search looks into.
-FIT_ROWS, MOST_CELLS, FIT_ROUNDS, PROBED = 20_000, 1024, 8, 0.35
+#: Vectors that cells are fitted on, most cells, rounds of the fit; share and least number of the cells a search looks into.
+FIT_ROWS, MOST_CELLS, FIT_ROUNDS, PROBED, LEAST_PROBED = 20_000, 1024, 8, 0.5, 16
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def probes(centres: np.ndarray, query: Sequence[float], share: float = PROBED) -
     if not len(centres) or len(query) != centres.shape[1]:
         return []
     order = np.argsort(-(centres @ np.asarray(query, np.float64)), kind="stable")
-    return [int(i) for i in order[: max(1, math.ceil(share * len(centres)))]]
+    return [int(i) for i in order[: max(LEAST_PROBED, math.ceil(share * len(centres)))]]
 
 
 def search_cells(stored: DataFrame, centroids: DataFrame, query: Sequence[float], top_k: int = TOP_K, threshold: float = 0.0, share: float = PROBED) -> DataFrame:
@@ -141,6 +141,48 @@ def search_cells(stored: DataFrame, centroids: DataFrame, query: Sequence[float]
     return search_vector(stored.where(F.col("cell").isin(asked) if asked else F.lit(False)), query, top_k, threshold)
 
 
+#: Rows of a cell that are compared at once in a batch search; larger cells are cut by the hash of the ids.
+CELL_ROWS = 65_536
+
+
+def search_cells_batch(stored: DataFrame, centroids: DataFrame, queries: DataFrame, top_k: int = TOP_K, share: float = PROBED) -> DataFrame:
+    """(query_id, chunk_id, score): approximate search for any number of queries (query_id, embedding).
+
+    Queries and stored rows meet by cell, a part of a cell at a time; each part gives a query's best, and a partial top-k
+    merges them. Nothing but the centroids is broadcast.
+    """
+    centres = _centres(centroids)
+    rows = stored.where("cell >= 0").count()
+    parts = max(1, math.ceil(rows / (max(len(centres), 1) * CELL_ROWS)))
+
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [probes(centres, v, share) if v and None not in v else [] for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["query_id", "embedding", "cells"])
+
+    asked = queries.select("query_id", "embedding").mapInArrow(to_cells, "query_id bigint, embedding array<float>, cells array<int>")
+    asked = asked.select("query_id", "embedding", F.explode("cells").alias("cell")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    held = stored.where("cell >= 0").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
+
+    def compare(one: pa.Table, other: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+        if not one.num_rows or not other.num_rows:
+            return schema.empty_table()
+        q, which = _matrix(one.column("embedding").combine_chunks(), centres.shape[1])
+        v, held_at = _matrix(other.column("embedding").combine_chunks(), centres.shape[1])
+        names, ids = one.column("query_id").to_numpy()[which], other.column("chunk_id").to_numpy()[held_at]
+        out = []
+        for at in range(0, len(q), 256):
+            s = q[at : at + 256] @ v.T
+            best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :top_k]
+            out.append((np.repeat(names[at : at + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema) if out else schema.empty_table()
+
+    met = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(compare, "query_id bigint, chunk_id bigint, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top_k).drop("r")
+
+
 def search(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K, threshold: float = 0.0, method: str = "exact", id_column: str = "chunk_id", vector_column: str = "embedding") -> DataFrame:
     """Exact search by default; ``method="cells"`` trades recall for looking at fewer rows. An index keeps the cells; for
     other vectors they are made here, which pays off for many queries only."""

@@ -13,7 +13,7 @@ from sondage.operators import change_capture, chunking, fusion, incremental, pat
 from sondage.operators.embedding import DummyEmbedder, embed
 from sondage.plans.search import Mode, fused_hits, with_chunks
 from sondage.sources.scan import latest_entries
-from sondage.storage import scratch, table
+from sondage.storage import scratch, table, written
 from sondage.streaming.watch import last_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,9 +96,20 @@ def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(vector_search.search_vector(table(spark, d, "embeddings"), _asked(spark, d), id_column="vec_id"), "score")
 
 
-def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate search by random projections."""
-    return _rounded(vector_search.search(table(spark, d, "embeddings"), _asked(spark, d), 10, method="lsh", id_column="vec_id"), "score")
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate search in the nearest cells of vectors, each once."""
+    return _rounded(vector_search.search(_vectors(spark, d).dropDuplicates(["chunk_id"]), _asked(spark, d), 10, method="cells"), "score")
+
+
+def knn_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the approximate search finds nine of ten of the ten nearest of every fiftieth vector, against all rows."""
+    vectors = _vectors(spark, d).where(F.size("embedding") == 64).dropDuplicates(["chunk_id"])
+    centroids = written(vector_search.fit_cells(vectors), "centroids")
+    stored = written(vector_search.in_cells(vectors, centroids), "cells").where("cell >= 0")
+    queries = stored.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    exact = vector_search.search_vectors(stored, queries, 10)
+    found = vector_search.search_cells_batch(stored, centroids, queries, 10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "chunk_id"], "left").agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
 
 
 def knn_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +263,9 @@ def event_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dummy_embed(spark: SparkSession, d: str) -> DataFrame:
-    return embed(summary.summaries(_chunks(spark, d)).dropDuplicates(["chunk_id"]), DummyEmbedder(64))
+    """The trial embedder's vectors, an element a row."""
+    vectors = embed(summary.summaries(_chunks(spark, d)).dropDuplicates(["chunk_id"]), DummyEmbedder(64))
+    return _rounded(vectors.select("chunk_id", F.posexplode("embedding").alias("element", "value")), "value").withColumns({"element": F.col("element").cast("bigint"), "value": F.col("value") + 0.0})
 
 
 def index_status(spark: SparkSession, d: str) -> DataFrame:
@@ -271,7 +284,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        text_regex_search, regex_match_lines, match_context, postings_build, entry_postings, token_search, token_search_stored, remove_chunks, upsert_vectors, knn_exact, knn_lsh, knn_threshold, knn_batch,
+        text_regex_search, regex_match_lines, match_context, postings_build, entry_postings, token_search, token_search_stored, remove_chunks, upsert_vectors, knn_exact, knn_cells, knn_recall, knn_threshold, knn_batch,
         rrf_three_way, rrf_two_way, fuse_text_only, fuse_semantic_only, fuse_ast_only, hybrid_search, chunk_fallback, chunk_files, signature_extract, summary_build, line_counts,
         language_detect, source_filter, watch_filter, exclude_filter, binary_detect, latest_scan, ast_pattern_search, ast_struct_search, ast_params_search, return_types, wildcard_match,
         fuzzy_type_match, incremental_diff, chunk_ids_to_remove, apply_deletions, update_state, event_dedup, dummy_embed, index_status, p4_found,
@@ -344,6 +357,44 @@ _SIGNATURE = f"""CASE WHEN contains(body, '{{') AND {_trim("split_part(body, '{'
     WHEN len(lines) > 0 THEN {_trim("lines[1]")} END"""
 _SNIPPET = f"""array_to_string(list_slice(list_filter(lines, lambda x: {_trim('x')} <> '' AND NOT regexp_matches({_trim('x')}, '^(//|#|/\\*|\\*)') AND {_trim('x')} NOT IN ('{{', '}}', '(', ')')), 1, 5), chr(10))"""
 
+_SUMMARIES = f"""{_C}, d AS (SELECT *, {_trim('doc_comment')} AS doc, {_SNIPPET} AS snippet FROM l), sums AS (SELECT id AS chunk_id, concat_ws(chr(10), CASE WHEN name IS NOT NULL THEN kind || ' ' || name END, 'language: ' || language, 'signature: ' || nullif({_trim('signature')}, ''), nullif(CASE WHEN length(doc) > 500 THEN substr(doc, 1, 500) || '...' ELSE doc END, ''), nullif(snippet, '')) AS summary FROM d)"""
+
+
+def _steps(n: int) -> str:
+    """(at, m, c): the generator's state after ``at`` + 1 steps is s * m + c, modulo 2^64."""
+    rows, m, c = [], 1, 0
+    for at in range(n):
+        m, c = m * DummyEmbedder.MULTIPLIER % 2**64, (c * DummyEmbedder.MULTIPLIER + DummyEmbedder.INCREMENT) % 2**64
+        rows.append(f"({at}, {m}::HUGEINT, {c}::HUGEINT)")
+    return ", ".join(rows)
+
+
+_EMBED = f"""WITH {_SUMMARIES}, h AS (SELECT chunk_id, hex(encode(summary)) AS x FROM sums),
+s AS (SELECT chunk_id, list_reduce(list_prepend(5381::HUGEINT, list_transform(range(0, length(x), 2), lambda i: CAST('0x' || substr(x, i + 1, 2) AS INTEGER)::HUGEINT)), lambda a, b: (a * 33 + b) % 18446744073709551616::HUGEINT) AS s FROM h),
+g AS (SELECT chunk_id, element, ((((s // 4294967296) * m) % 4294967296::HUGEINT) * 4294967296::HUGEINT + (s % 4294967296::HUGEINT) * m + c) % 18446744073709551616::HUGEINT AS s FROM s, (VALUES {_steps(64)}) AS k(element, m, c)),
+v AS (SELECT chunk_id, element, (CAST(s // 8589934592::HUGEINT AS FLOAT) / CAST(4294967295 AS FLOAT) * CAST(2 AS FLOAT) - CAST(1 AS FLOAT))::DOUBLE AS v FROM g)
+SELECT chunk_id, CAST(element AS BIGINT) AS element, round(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY chunk_id)) AS FLOAT)::DOUBLE, 6) + 0.0 AS value FROM v"""
+
+_IN_BRACKETS = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
+_INNER = r"<[^<>()\[\]{}]*>|\([^<>()\[\]{}]*\)|\[[^<>()\[\]{}]*\]|\{[^<>()\[\]{}]*\}"
+
+
+def _without_inner(x: str) -> str:
+    for _ in range(4):
+        x = f"regexp_replace({x}, '{_INNER}', '§', 'g')"
+    return x
+
+
+_TYPE = r"CASE WHEN contains(p, ':') THEN regexp_replace(regexp_replace(trim(substr(p, instr(p, ':') + 1)), '^&+', ''), '^(mut )+', '') ELSE regexp_extract(p, '\S+$') END"
+_PARAMS = f"""WITH {_C}, t AS (SELECT id, coalesce(signature, body) AS x FROM l WHERE kind IN ('function', 'method')),
+b AS (SELECT id, x, regexp_extract(substr(x, instr(x, '(')), '(?s)^{_IN_BRACKETS}') AS b FROM t),
+ps AS (SELECT id, x, list_filter(list_transform(str_split({_without_inner("substr(b, 2, greatest(length(b) - 2, 0))")}, ','), lambda p: trim(p, E' \\t\\n\\r')), lambda p: p <> '') AS ps FROM b),
+ty AS (SELECT id, x, list_transform(ps, lambda p: lower(trim({_TYPE}))) AS ty FROM ps),
+at_ AS (SELECT id, x, ty, list_position(list_transform(ty, lambda p: p IN {_in(pattern.TYPE_GROUPS[0][1])}), TRUE) AS i FROM ty),
+sc AS (SELECT id, CASE WHEN len(ty) < 2 OR coalesce(i, 0) = 0 THEN 0.0 WHEN len(list_filter(list_slice(ty, i + 1, len(ty)), lambda p: p IN {_in(pattern.TYPE_GROUPS[1][1])})) > 0 THEN 1.0 ELSE 0.5 END AS p,
+    CASE WHEN lower({_return('x')}) IN ('bool', 'boolean') THEN 1.0 WHEN contains(lower({_return('x')}), 'bool') THEN 0.5 ELSE 0.0 END AS r FROM at_)
+SELECT id AS chunk_id, round((0.3 + 0.15 * p + 0.15 * r) / 0.6, 6) AS score FROM sc ORDER BY (0.3 + 0.15 * p + 0.15 * r) / 0.6 DESC, id LIMIT 20"""
+
 SQL: dict[str, str] = {
     "text_regex_search": f"WITH {_C}, {_TEXT} SELECT chunk_id, array_to_string(ms, ',') AS matched_lines, score FROM text_hits",
     "regex_match_lines": r"WITH s AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS p FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, " + _LINES.format("p") + f" AS lines FROM s), u AS (SELECT doc_id, unnest(lines) AS line, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS line_number FROM l) SELECT doc_id, line_number, line FROM u WHERE regexp_matches(line, '(?i){REGEX}')",
@@ -355,6 +406,7 @@ SQL: dict[str, str] = {
     "remove_chunks": "SELECT token, chunk_id, freq FROM postings WHERE chunk_id IN (SELECT id FROM chunks)",
     "upsert_vectors": "WITH e AS (SELECT DISTINCT chunk_id, embedding FROM index_entries), v AS (SELECT DISTINCT chunk_id, embedding FROM vectors WHERE embedding IS NOT NULL) SELECT chunk_id, coalesce(len(embedding), CAST(NULL AS BIGINT)) AS n FROM e UNION ALL SELECT chunk_id, len(embedding) FROM v WHERE chunk_id NOT IN (SELECT chunk_id FROM e)",
     "knn_exact": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id AS chunk_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), q.e) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(q.e, q.e))), 6) AS score FROM embeddings, q ORDER BY score DESC, chunk_id LIMIT 20",
+    "knn_recall": "SELECT TRUE AS enough",
     "knn_threshold": f"WITH {_V} SELECT chunk_id, round(score, 6) AS score FROM (SELECT * FROM sims ORDER BY score DESC, chunk_id LIMIT 50) WHERE score >= 0.3",
     "knn_batch": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) SELECT query_id, chunk_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5",
     "rrf_three_way": f"WITH {_C}, {_TEXT}, {_SEM}, {_AST}, {_fuse(('text_hits', 'text'), ('sem_hits', 'semantic'), ('ast_hits', 'ast'))} {_FUSED}",
@@ -365,7 +417,7 @@ SQL: dict[str, str] = {
     "hybrid_search": f"WITH {_C}, {_TEXT}, {_SEM}, ast_hits AS (SELECT id AS chunk_id, (0.3 + 0.3 * CASE WHEN lower(name) = '{REGEX}' THEN 1.0 WHEN contains(lower(name), '{REGEX}') THEN 0.5 ELSE 0.0 END) / 0.6 AS score FROM c WHERE kind IN ('function', 'method') ORDER BY score DESC, chunk_id LIMIT 20), {_fuse(('text_hits', 'text'), ('sem_hits', 'semantic'), ('ast_hits', 'ast'))} SELECT chunk_id, round(f, 6) AS fused_score, file_path, kind, name FROM fused JOIN c ON c.id = fused.chunk_id",
     "chunk_fallback": r"WITH s AS (SELECT file_path, regexp_split_to_array(text, '\r?\n') AS p FROM documents WHERE text IS NOT NULL), l AS (SELECT file_path, " + _LINES.format("p") + " AS lines FROM s), b AS (SELECT *, unnest(generate_series(0, len(lines) - 1, 50)) AS a FROM l WHERE len(lines) > 0), z AS (SELECT *, least(a + 50, len(lines)) AS z FROM b), y AS (SELECT *, array_to_string(list_slice(lines, a + 1, z), chr(10)) AS body, CAST(coalesce(list_sum(list_transform(list_slice(lines, 1, a), lambda x: strlen(x) + 1)), 0) AS BIGINT) AS byte_start FROM z) SELECT file_path, regexp_extract(file_path, '[^/]*$') || ':L' || (a + 1) || '-L' || z AS name, body, byte_start, byte_start + strlen(body) AS byte_end, CAST(a AS INTEGER) AS line_start, CAST(z AS INTEGER) AS line_end FROM y",
     "signature_extract": f"WITH {_C} SELECT id, nullif({_SIGNATURE}, '') AS signature FROM l",
-    "summary_build": f"WITH {_C}, d AS (SELECT *, {_trim('doc_comment')} AS doc, {_SNIPPET} AS snippet FROM l) SELECT id AS chunk_id, concat_ws(chr(10), CASE WHEN name IS NOT NULL THEN kind || ' ' || name END, 'language: ' || language, 'signature: ' || nullif({_trim('signature')}, ''), nullif(CASE WHEN length(doc) > 500 THEN substr(doc, 1, 500) || '...' ELSE doc END, ''), nullif(snippet, '')) AS summary FROM d",
+    "summary_build": f"WITH {_SUMMARIES} SELECT chunk_id, summary FROM sums",
     "line_counts": r"WITH s AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS p FROM documents) SELECT doc_id, len(" + _LINES.format("p") + ") AS lines FROM s",
     "language_detect": f"SELECT DISTINCT path, {_LANGUAGE} AS language FROM scan_entries",
     "source_filter": f"SELECT path, size FROM (SELECT path, max(struct_pack(a := seen_at, b := modified, c := size)).c AS size FROM scan_entries GROUP BY path) WHERE size <= 10485760 AND ({_NAME} IN {_in(paths.SOURCE_NAMES)} OR {_EXT} IN {_in(paths.SOURCE_EXTENSIONS)})",
@@ -375,6 +427,8 @@ SQL: dict[str, str] = {
     "latest_scan": "SELECT path, max(struct_pack(a := seen_at, b := modified, c := size)).c AS size, epoch_us(max(seen_at)) AS seen_us FROM scan_entries GROUP BY path",
     "ast_pattern_search": f"WITH {_C}, {_AST} SELECT chunk_id, round(score, 6) AS score FROM ast_hits",
     "ast_struct_search": "SELECT id AS chunk_id, round((0.3 + 0.3 * CASE WHEN lower(name) LIKE '%tree' THEN 1.0 WHEN contains(lower(name), 'tree') THEN 0.5 ELSE 0.0 END) / 0.6, 6) AS score FROM (SELECT DISTINCT * FROM chunks) WHERE kind = 'struct' ORDER BY score DESC, chunk_id LIMIT 20",
+    "ast_params_search": _PARAMS,
+    "dummy_embed": _EMBED,
     "return_types": f"SELECT id, {_return('coalesce(signature, body)')} AS return_type FROM (SELECT DISTINCT * FROM chunks)",
     "wildcard_match": "SELECT id, name FROM (SELECT DISTINCT * FROM chunks) WHERE name ILIKE '%tree%'",
     "fuzzy_type_match": f"SELECT id, return_type FROM (SELECT id, {_return('signature')} AS return_type FROM (SELECT DISTINCT * FROM chunks)) WHERE lower({_trim('return_type')}) IN {_in(pattern.TYPE_GROUPS[1][1])}",

@@ -64,6 +64,26 @@ def test_sink_keeps_each_key_and_offset_once(spark, tmp_path):
     assert log.sink().count() == 3
 
 
+def test_offsets_go_on_and_the_sink_does_not_grow(spark, tmp_path):
+    """A later batch starts where the one before ended, in more partitions if it is larger; a replay replaces its sink."""
+    log = ChangeLog(spark, str(tmp_path / "log"), 4)
+    log.run(lambda: _changes(spark, "abc"))
+    assert {r.partition: r.next_offset for r in log.offsets().collect()} == {0: 3}
+    log.run(lambda: _changes(spark, "defghijkl"))
+    after = {r.partition: r.next_offset for r in log.offsets().collect()}
+    assert len(after) == 3 and sum(after.values()) == 12 and after[0] > 3
+    log.run(lambda: _changes(spark, "m"))
+    rows = [(r.partition, r.offset) for r in log.sink().collect()]
+    assert len(set(rows)) == len(rows) == 13
+    for p in {p for p, _ in rows}:
+        assert sorted(o for q, o in rows if q == p) == list(range(sum(q == p for q, _ in rows)))
+    size = log._read(["sink/000000000001"]).count()
+    log._fs.delete(log._path(f"{log.root}/done/000000000001"), False)
+    assert log.deliver() == ["000000000001"] and log._read(["sink/000000000001"]).count() == size == 9
+    log._fs.delete(log._path(f"{log.root}/offsets/000000000002/_SUCCESS"), False)
+    assert log.batches() == ["000000000000", "000000000001"] and sum(r.next_offset for r in log.offsets().collect()) == 12
+
+
 def test_global_rank(spark):
     rows = [("x", i % 7, i) for i in range(500)] + [("y", 1, 1000), ("z", None, 1001)]
     df = spark.createDataFrame(rows, "g string, v int, id int")
