@@ -12,7 +12,7 @@ from sondage.operators.embedding import Embedder, embed, embedder_of
 from sondage.operators.postings import build_postings
 from sondage.operators.summary import summaries
 from sondage.sources.index_store import IndexStore
-from sondage.sources.scan import indexable, scan
+from sondage.sources.scan import indexable, scan, with_content
 from sondage.storage import written
 
 
@@ -57,7 +57,7 @@ def build_index(spark: SparkSession, root: str, index: str, config: Config | Non
     listed = indexable(scan(spark, root, config), config.max_file_size)
     known = state.select("path", F.col("mtime").alias("was"))
     touched = listed.join(known, "path", "left").where(F.col("was").isNull() | (F.col("was") != F.col("modificationTime")))
-    read = written(readable(touched.drop("was")), "files")
+    read = written(readable(with_content(touched.drop("was"))), "files")
     hashes = read.select(F.col("file_path").alias("path"), incremental.content_hash(F.col("text")).alias("content_hash"))
     current = listed.select("path", F.col("modificationTime").alias("mtime")).join(hashes, "path", "left")
     status = written(incremental.detect_changes(current, state), "status")

@@ -18,7 +18,7 @@ from sondage.operators.chunking import readable
 from sondage.operators.embedding import Embedder, embedder_of
 from sondage.plans.index import build_index, changed_rows
 from sondage.sources.index_store import IndexStore
-from sondage.sources.scan import watched
+from sondage.sources.scan import entry, frame, watched, with_content
 
 #: Interval of the micro-batches.
 DEBOUNCE = "500 milliseconds"
@@ -63,25 +63,14 @@ def process_events(spark: SparkSession, events: DataFrame, index: str, embedder:
 def _read_files(paths: DataFrame) -> DataFrame:
     """Raw files of the paths that exist, read on the executors."""
 
-    def run(batches):
-        import os
-
-        import pandas as pd
-
+    def stats(batches):
         for b in batches:
-            rows = []
-            for path in b["path"]:
-                bare = path.removeprefix("file:")
-                try:
-                    with open(bare, "rb") as f:
-                        content = f.read()
-                    rows.append((path, pd.Timestamp(int(os.path.getmtime(bare) * 1_000_000), unit="us", tz="UTC").as_unit("us"), len(content), content))
-                except OSError:
-                    continue
-            out = pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
-            yield out.astype({"modificationTime": "datetime64[us, UTC]"})
-
-    return paths.mapInPandas(run, "path string, modificationTime timestamp, length bigint, content binary")
+            bare = [p if p.startswith("file:") else f"file:{p}" for p in b["path"]]
+            rows = [(p, *entry("/", q.removeprefix("file:"))[1:3]) for p, q in zip(b["path"], bare)]
+            yield frame([(*r, "") for r in rows])[["path", "modificationTime", "length"]]
+
+    found = paths.mapInPandas(stats, "path string, modificationTime timestamp, length bigint").where("length is not null")
+    return with_content(found)
 
 
 def watch_events(events: DataFrame, index: str, checkpoint: str, embedder: Embedder | None = None, interval: str | None = DEBOUNCE, read: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:

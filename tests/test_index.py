@@ -12,7 +12,7 @@ from sondage.operators.embedding import DummyEmbedder
 from sondage.plans.index import build_index, index_status
 from sondage.plans.search import search
 from sondage.sources.index_store import IndexStore, project_dir
-from sondage.sources.scan import scan
+from sondage.sources.scan import scan, skipped
 from sondage.streaming import watch
 
 PY = "class Box:\n    \"\"\"A box.\"\"\"\n\n    def open(self, key: str) -> bool:\n        return key == self.key\n\n\ndef close_box(box):\n    box.shut = True\n"
@@ -61,6 +61,16 @@ def test_summary(spark):
 def test_scan_rules(spark, tree):
     found = {r.relative for r in scan(spark, str(tree)).select("relative").collect()}
     assert found == {"src/box.py", "src/gate.rs"}
+    for name in ("src/__init__.py", "src/deep/a.log", "src/deep/keep.log", "src/deep/out/x.py", "src/deep/b.tmp", "own/c.tmp", "own/d.bak", "empty.py"):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text("" if name == "empty.py" else "x = 1\n")
+    (tree / "src" / "deep" / ".gitignore").write_text("!keep.log\n*.tmp\n")
+    (tree / ".git" / "info").mkdir(parents=True)
+    (tree / ".git" / "info" / "exclude").write_text("*.bak\n")
+    (tree / "link.py").symlink_to(tree / "src" / "box.py")
+    more = {r.relative for r in scan(spark, str(tree), ignore_text="empty.*\n").select("relative").collect()}
+    assert more == found | {"src/__init__.py", "src/deep/keep.log", "own/c.tmp"}
+    assert skipped(spark, str(tree)) == 0 and scan(spark, str(tree / "src" / "none")).count() == 0 if (tree / "src" / "none").mkdir() is None else False
 
 
 def test_build_update_search(spark, tree, tmp_path):
