@@ -1,7 +1,7 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
-Long texts are cut at safe boundaries first: the split pattern never lets a token run from a visible character into a
-following blank, so the ids of the parts put together are the ids of the text. Decoding joins the raw bytes of the
+Long texts are cut at safe boundaries first, where the split pattern ends a token whatever the script: before a blank that
+follows a sign, and between letters or digits and other signs. So the ids of the parts put together are those of the text. Decoding joins the raw bytes of the
 tokens and only then reads them as UTF-8.
 
 Cases: an empty text has no ids (an empty list), and so has a null text; special tokens' strings are ordinary text;
@@ -11,12 +11,12 @@ repeated rows each get their row; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 
@@ -27,7 +27,9 @@ NAME = "byte_bpe_50k"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts above this many characters are cut.
 LONG = 100_000
-_SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
+#: Where no token of the pattern runs on: before a blank that follows a sign, and between a letter and a sign that is
+#: neither letter, digit, blank nor apostrophe, whatever the script. Each part is split as it would be inside the text.
+_SAFE = regex.compile(r"(?<=\S)(?=[ \n])|(?<=\p{L})(?=[^\s\p{L}\p{N}'])|(?<=\p{N})(?=[^\s\p{N}])")
 
 
 @lru_cache(maxsize=4)
@@ -41,7 +43,7 @@ def tokenizer(path: str):
 
 
 def safe_parts(text: str, long: int = LONG) -> Iterator[str]:
-    """Parts of about ``long`` characters; a part ends before a blank that follows a visible character."""
+    """Parts of about ``long`` characters, cut at safe places; a run of letters without one, in any script, stays whole."""
     at = 0
     while len(text) - at > long:
         cut = _SAFE.search(text, at + long)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions.lexers import LEXERS, LITERAL, Lexed, extension
 from sondage.llm.visual_form import one_form
+from sondage.operators.directory_rules import ruled
 from sondage.storage import written
 
 # The few conventions that hold everywhere, for collections too small to mine.
@@ -211,17 +212,8 @@ def file_signs(documents: DataFrame, id_column: str = "doc_id", path_column: str
 
 
 def declared_paths(signs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(file_path, declared): what attribute files say of paths: deeper files first, in a file the last matching line.
-
-    A path meets the rules (dir, line, regex, on) of each directory above it by an equality join, so neither the rules of a
-    project nor its files are gathered anywhere.
-    """
-    parts = F.split("file_path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    paths = signs.where("file_path is not null").select("file_path").distinct().select("file_path", F.explode(above).alias("dir"))
-    met = paths.join(rules.distinct(), "dir").withColumn("rest", F.when(F.col("dir") == "", F.col("file_path")).otherwise(F.substr("file_path", F.length("dir") + 2)))
-    hits = met.where(F.rlike("rest", F.col("regex")))
-    return hits.groupBy("file_path").agg(F.max_by("on", F.struct(F.length("dir"), "line", "regex")).alias("declared"))
+    """(file_path, declared): what attribute files say of paths: deeper files first, in a file the last matching line."""
+    return ruled(signs, rules, "file_path").withColumnRenamed("on", "declared")
 
 
 def path_features(signs: DataFrame) -> DataFrame:

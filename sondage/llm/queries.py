@@ -28,6 +28,12 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("chunk_id", "token", "freq", "df", F.when(llr != 0, llr).otherwise(0.0).alias("llr"))
 
 
+def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most distinctive terms of every chunk."""
+    scores = term_distinctiveness.term_scores(table(spark, d, "postings"), table(spark, d, "chunks"))
+    return term_distinctiveness.most_distinctive(scores.withColumn("llr", F.round("llr", 4)), 10).withColumn("llr", F.col("llr") + 0.0)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return parse_faults.parse_faults(table(spark, d, "documents")).where("fault is not null").select("doc_id")
 
@@ -95,7 +101,7 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_scores, p3_found, p3_rates, p5_found, p5_ranking, p6_found, p6_pairs, p6_functions, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_scores, p2_terms, p3_found, p3_rates, p5_found, p5_ranking, p6_found, p6_pairs, p6_functions, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
 
 _CLEAN = """
 WITH rows_ AS (SELECT DISTINCT p.token, p.chunk_id, p.freq FROM postings p
@@ -107,10 +113,16 @@ totals AS (SELECT token, count(*) AS df, CAST(sum(freq) AS BIGINT) AS cf FROM te
 _CELL = "CASE WHEN {0} > 0 THEN {0} * ln({0} * t.n / ({1} * {2})) ELSE 0 END"
 _G2 = " + ".join(_CELL.format(*x) for x in (("a", "r", "c"), ("(r - a)", "r", "(t.n - c)"), ("(c - a)", "(t.n - r)", "c"), ("(t.n - r - c + a)", "(t.n - r)", "(t.n - c)")))
 
+_SCORES = f"""x AS (SELECT chunk_id, token, freq, df, freq::DOUBLE AS a, sum(freq) OVER (PARTITION BY chunk_id)::DOUBLE AS r, cf::DOUBLE AS c FROM terms JOIN totals USING (token)),
+t AS (SELECT sum(freq)::DOUBLE AS n FROM terms),
+scored AS (SELECT chunk_id, token, freq, df, round(CASE WHEN a * t.n >= r * c THEN 1 ELSE -1 END * 2.0 * ({_G2}), 4) + 0.0 AS llr FROM x, t)"""
+
 SQL: dict[str, str] = {
-    "p2_scores": _CLEAN + f""", x AS (SELECT chunk_id, token, freq, df, freq::DOUBLE AS a, sum(freq) OVER (PARTITION BY chunk_id)::DOUBLE AS r, cf::DOUBLE AS c FROM terms JOIN totals USING (token)),
-t AS (SELECT sum(freq)::DOUBLE AS n FROM terms)
-SELECT chunk_id, token, freq, df, round(CASE WHEN a * t.n >= r * c THEN 1 ELSE -1 END * 2.0 * ({_G2}), 4) + 0.0 AS llr FROM x, t""",
+    "p2_scores": f"{_CLEAN}, {_SCORES} SELECT chunk_id, token, freq, df, llr FROM scored",
+    "p2_terms": f"{_CLEAN}, {_SCORES} SELECT chunk_id, token, llr, row_number() OVER (PARTITION BY chunk_id ORDER BY llr DESC, token) AS rank FROM scored QUALIFY rank <= 10",
+    "p7_found": """WITH v AS (SELECT chunk_id, min(embedding) AS e FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+u AS (SELECT chunk_id, list_transform(e, lambda x: x::DOUBLE / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])))::DOUBLE[64] AS e FROM v)
+SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM u a JOIN u b ON a.chunk_id < b.chunk_id WHERE array_inner_product(a.e, b.e) >= 0.9""",
     "p5_ranking": """
 WITH once AS (SELECT query_id, chunk_id, unnest([{k: 0, s: a}, {k: 1, s: b}, {k: 2, s: c}], recursive := true) FROM (SELECT query_id, chunk_id,
     max(CASE WHEN NOT isnan(text_score) THEN text_score END) AS a, max(CASE WHEN NOT isnan(semantic_score) THEN semantic_score END) AS b,

@@ -71,7 +71,8 @@ def agreed_top(fused: DataFrame, scores: int = len(SCORES)) -> DataFrame:
     """(query_id, chunk_id): items at the top by all accounts.
 
     The fused score grows with each score, so an item with fewer than ten items ahead by each of three scores has at
-    most 27 ahead in the fused order: the operator's first ranks (``reach``) hold all candidates, ``leads`` is the check.
+    most 27 ahead in the fused order: the operator's first ranks (``reach``) give the candidates, ``leads`` is the exact
+    check that follows. It is what a case is by definition; the candidates hold every case.
     """
     near = F.col("reach").isNull() | (F.col("fused") >= F.col("reach"))
     return fused.where(near & (F.col("leads") == scores)).select("query_id", "chunk_id")

@@ -3,13 +3,14 @@ r"""Mixing sources to target weights, with soft membership for documents whose s
 Source names are brought to one spelling. A classifier fitted on labelled rows gives each document without a source a
 posterior over the sources; a labelled document belongs to its source alone. Targets too large for what their source can
 give within its repeats are cut to that, and the others grow in proportion, as far as they can. Projected-gradient least
-squares then fits a rate of copies to every document so that the expected tokens of the sources meet those targets: each
-step needs one distributed sum of as many numbers as there are sources. Rates become whole copies by a hash of the id,
+squares then fits a rate of copies to every document so that the expected tokens of the sources meet those targets. It
+starts on sums over groups of like memberships, at most LEVELS^2 for each pair of sources whatever the input, and ends
+with steps over all rows, each one distributed sum of as many numbers as there are sources. Rates become whole copies by a hash of the id,
 with a threshold per source found in a histogram, so the collection meets its totals to about a document.
 
 Cases: spellings of a name that differ in case, blanks or punctuation are one source; a source without target is left
 out; a target without documents stays at 0; null or empty texts have no tokens and are left out; a repeated doc_id counts
-once; with no targets or documents the result is empty; with no labelled document the posterior is the targets' shares.
+once, of different texts of one id always the same; with no targets or documents the result is empty; with no labelled document the posterior is the targets' shares.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from sondage.storage import written
 #: Bound of the labelled rows the classifier is fitted on, and its hashed features.
 SAMPLE, WIDTH = 6000, 1024
 #: Most steps of the fit, and the largest miss of a share, or change of it, that ends it.
-STEPS, MISS = 60, 1e-5
+STEPS, MISS = 200, 1e-5
+#: Steps over all rows after those over the group sums, and levels of a membership's two largest shares in a group.
+FINE_STEPS, LEVELS = 6, 16
 #: Buckets of the hash histogram, at each of two levels.
 BUCKETS = 4096
 _TERM = re.compile(r"[^\W\d_]+")
@@ -96,9 +99,9 @@ def _bounded_sample(rows: DataFrame):
 
 
 def posteriors(documents: DataFrame, names: list[str], prior: list[float]) -> DataFrame:
-    """(doc_id, posterior) of the documents without a source."""
+    """(doc_id, h, posterior) of the documents without a source; ``h`` tells texts of one id apart."""
     label = source_name(F.col("source"))
-    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), *[c.alias(f"h{i}") for i, c in enumerate(_hint_columns(documents))]]
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), *[c.alias(f"h{i}") for i, c in enumerate(_hint_columns(documents))], F.xxhash64("text").alias("h")]
     known = documents.where(label.isin(names) & F.col("text").isNotNull())
     sample = _bounded_sample(known.select(*columns, label.alias("label"))) if names else None
     if sample is None or sample.empty:
@@ -115,9 +118,10 @@ def posteriors(documents: DataFrame, names: list[str], prior: list[float]) -> Da
                 p = np.tile(np.array(prior), (b.num_rows, 1))
             else:
                 p = _softmax(_features(b.column(1).to_pylist(), _hints_of(rows)) @ model[0] + model[1]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "posterior"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "h", "posterior"])
 
-    return documents.where(label.isNull() & F.col("text").isNotNull()).select(*columns).mapInArrow(run, "doc_id bigint, posterior array<double>")
+    found = documents.where(label.isNull() & F.col("text").isNotNull()).select(*columns).mapInArrow(run, "doc_id bigint, h bigint, posterior array<double>")
+    return found.groupBy("doc_id", "h").agg(F.min("posterior").alias("posterior"))
 
 
 def fill_targets(shares: np.ndarray, capacity: np.ndarray, total: float) -> np.ndarray:
@@ -136,45 +140,77 @@ def fill_targets(shares: np.ndarray, capacity: np.ndarray, total: float) -> np.n
     return given
 
 
-def _rates(member: np.ndarray, cap: np.ndarray, scale: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The rates after the given moves: every step goes down the gradient and back into [0, cap]."""
+def _rates(member: np.ndarray, cap: np.ndarray, weight: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The rates after the given moves: every step goes down the gradient and back into [0, cap].
+
+    A row's step is the inverse of the weight of its sources. With such steps the update's matrix is nonnegative and has
+    the weights as an eigenvector of eigenvalue 1, so none is larger and the steps never swing.
+    """
     rate = np.minimum(1.0, cap)
-    step = member @ scale
+    step = 1 / np.maximum(member @ weight, 1e-12)
     for move in moves:
         rate = np.clip(rate - step * (member @ move), 0.0, cap)
     return rate
 
 
-def fit_rates(groups: DataFrame, targets: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-    """The moves of projected-gradient least squares over ``groups`` (membership, tokens); distributed sums only.
+def _step(member: np.ndarray, tokens: np.ndarray, repeats: np.ndarray, weight: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The expected tokens of the sources at the rates that the moves lead to."""
+    return (member * (_rates(member, member @ repeats, weight, moves) * tokens)[:, None]).sum(0)
+
+
+def group_sums(groups: DataFrame, n: int) -> DataFrame:
+    """(tokens, s0, ...): token-weighted sums over rows of like memberships: the same two likeliest sources with shares of
+    the same level. At most n^2 * LEVELS^2 rows."""
+    largest = F.array_max("member")
+    first = F.array_position("member", largest)
+    rest = F.transform("member", lambda x, i: F.when(i + 1 == first, F.lit(-1.0)).otherwise(x))
+    second = F.array_max(rest)
+    key = [first.alias("a"), F.array_position(rest, second).alias("b"), F.round(largest * LEVELS).alias("la"), F.round(second * LEVELS).alias("lb")]
+    rows = groups.select(*key, F.col("tokens").cast("double").alias("tokens"), "member")
+    return rows.groupBy("a", "b", "la", "lb").agg(F.sum("tokens").alias("tokens"), *[F.sum(F.col("tokens") * F.col("member")[i]).alias(f"s{i}") for i in range(n)])
 
-    A document's rate follows from its membership and the moves alone, so no state is kept per document.
+
+def fit_rates(groups: DataFrame, targets: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The moves of projected-gradient least squares over ``groups`` (membership, tokens), and the weight of the sources.
+
+    A document's rate follows from its membership and the moves alone, so no state is kept per document, and moves found
+    on group sums go on over all rows.
     """
     n, total = len(targets), max(targets.sum(), 1.0)
-    sums = groups.select(*[F.sum(F.col("tokens") * F.col("member")[i]).alias(f"s{i}") for i in range(n)]).first()
-    weight = np.array([float(sums[i] or 0) for i in range(n)]) / total
-    scale = np.where(weight > 0, 1 / np.where(weight > 0, weight, 1), 0.0)
+    coarse = np.array([[float(r[c]) for c in ("tokens", *[f"s{i}" for i in range(n)])] for r in group_sums(groups, n).where("tokens > 0").collect()]).reshape(-1, n + 1)
+    coarse = coarse[np.lexsort(coarse.T)]
+    weight = coarse[:, 1:].sum(0) / total
+    tokens, member = coarse[:, 0], coarse[:, 1:] / np.maximum(coarse[:, :1], 1e-300)
     moves: list[np.ndarray] = []
+
+    def moved(got: np.ndarray) -> bool:
+        """Whether the miss of ``got`` gave a further move."""
+        miss = (got - targets) / total
+        if np.abs(miss).max() < MISS or moves and np.abs(miss - moves[-1]).max() < MISS / 10:
+            return False
+        moves.append(miss)
+        return True
+
     for _ in range(STEPS):
+        if not moved(_step(member, tokens, repeats, weight, np.array(moves).reshape(-1, n))):
+            break
+    for _ in range(FINE_STEPS):
         done = np.array(moves).reshape(-1, n)
 
         def run(batches: Iterator[pa.RecordBatch], done: np.ndarray = done) -> Iterator[pa.RecordBatch]:
             got = np.zeros(n)
             for b in batches:
-                member = np.array(b.column(0).to_pylist(), dtype=float).reshape(-1, n)
-                rate = _rates(member, member @ repeats, scale, done)
-                got += (member * (rate * b.column(1).to_numpy())[:, None]).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i in range(n)], pa.int32()), pa.array(got)], names=["i", "got"])
+                rows = np.array(b.column(0).to_pylist(), dtype=float).reshape(-1, n)
+                got += _step(rows, b.column(1).to_numpy(), repeats, weight, done)
+            yield pa.RecordBatch.from_arrays([pa.array(list(range(n)), pa.int32()), pa.array(got)], names=["i", "got"])
 
         parts = groups.select("member", F.col("tokens").cast("double")).mapInArrow(run, "i int, got double").groupBy("i").agg(F.sum("got").alias("got")).collect()
         got = np.zeros(n)
         for r in parts:
             got[r.i] = r.got
-        miss = (got - targets) / total
-        if np.abs(miss).max() < MISS or moves and np.abs(miss - moves[-1]).max() < MISS:
+        if not moved(got):
             break
-        moves.append(miss)
-    return np.array(moves).reshape(-1, n), scale
+    return np.array(moves).reshape(-1, n), weight
 
 
 def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizers: str = TOKENIZERS, name: str = NAME) -> DataFrame:
@@ -194,9 +230,11 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = N
     repeats = np.array([float(r.repeats or 0) for r in wanted])
 
     label = source_name(F.col("source"))
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), label.alias("label"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (label.isNull() | label.isin(names)))
-    sized = written(count_tokens(rows, ["doc_id", "label"], tokenizers=tokenizers, name=name).where("n_tokens > 0").dropDuplicates(["doc_id"]), "sized")
-    unknown = sized.where("label is null").join(posteriors(documents, names, shares.tolist()).dropDuplicates(["doc_id"]), "doc_id")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), label.alias("label"), F.xxhash64("text").alias("h"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (label.isNull() | label.isin(names)))
+    counted = count_tokens(rows, ["doc_id", "label", "h"], tokenizers=tokenizers, name=name).where("n_tokens > 0")
+    first = F.min(F.struct(F.col("label").isNull().alias("no"), "label", "h", "n_tokens")).alias("x")
+    sized = written(counted.groupBy("doc_id").agg(first).select("doc_id", "x.label", "x.h", "x.n_tokens"), "sized")
+    unknown = sized.where("label is null").join(posteriors(documents, names, shares.tolist()), ["doc_id", "h"])
     unknown = written(unknown.select("doc_id", "n_tokens", F.col("posterior").alias("member")), "unknown")
     one_hot = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.array(*[F.lit(1.0 if i == j else 0.0) for j in range(len(names))]))])
     whole = sized.where("label is not null").groupBy("label").agg(F.sum("n_tokens").alias("tokens")).select(one_hot[F.col("label")].alias("member"), "tokens")
@@ -205,9 +243,9 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = N
     capacity_row = groups.select(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * F.col("member")[i] * float(repeats[i])).alias(f"c{i}") for i in range(len(names))]).first()
     capacity = np.array([float(capacity_row[f"c{i}"] or 0) for i in range(len(names))])
     goal = fill_targets(shares, capacity, float(total_tokens or capacity_row["all"] or 0))
-    moves, scale = fit_rates(groups, goal, repeats)
+    moves, weight = fit_rates(groups, goal, repeats)
 
-    per_source = _rates(np.eye(len(names)), repeats, scale, moves)
+    per_source = _rates(np.eye(len(names)), repeats, weight, moves)
     rate_of = F.create_map(*[x for s, r in zip(names, per_source) for x in (F.lit(s), F.lit(float(r)))])
     labelled = sized.where("label is not null").select("doc_id", F.col("label").alias("source"), "n_tokens", rate_of[F.col("label")].alias("rate"))
 
@@ -216,7 +254,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = N
             member = np.array(b.column(2).to_pylist(), dtype=float).reshape(-1, len(names))
             likely = [names[i] for i in member.argmax(axis=1)] if len(member) else []
             limit = np.floor(repeats[member.argmax(axis=1)]) if len(member) else np.empty(0)
-            rate = np.minimum(_rates(member, member @ repeats, scale, moves), limit)
+            rate = np.minimum(_rates(member, member @ repeats, weight, moves), limit)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(likely, pa.string()), b.column(1), pa.array(rate)], names=["doc_id", "source", "n_tokens", "rate"])
 
     rated = labelled.unionByName(unknown.select("doc_id", "n_tokens", "member").mapInArrow(soft, "doc_id bigint, source string, n_tokens bigint, rate double"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sondage.storage import written
 
@@ -57,18 +58,24 @@ def term_scores(postings: DataFrame, records: DataFrame, record_id: str = "id")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("freq").alias("t")).first()
     totals = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("freq").alias("cf"))
     n = F.lit(float(size.t or 0))
-    if size.n > 50 * HEAVY_SHARE:
-        heavy = written(totals.where(F.col("df") * HEAVY_SHARE > size.n), "heavy")
-        hot = rows.join(F.broadcast(heavy), "token")
-        rest = rows.join(F.broadcast(heavy.select("token")), "token", "left_anti")
-        light = totals.where(F.col("df") * HEAVY_SHARE <= size.n)
-        joined = hot.unionByName(rest.join(light, "token"))
-    else:
-        joined = rows.join(totals, "token")
+    heavy = written(totals.where(F.col("df") * HEAVY_SHARE > size.n), "heavy")
+    hot = rows.join(F.broadcast(heavy), "token")
+    rest = rows.join(F.broadcast(heavy.select("token")), "token", "left_anti")
+    light = totals.where(F.col("df") * HEAVY_SHARE <= size.n)
+    joined = hot.unionByName(rest.join(light, "token"))
     d = [F.col(c).cast("double") for c in ("freq", "record_total", "cf")]
     return joined.select("chunk_id", "token", "freq", "df", "cf", _g2(d[0], d[1], d[2], n).alias("llr"))
 
 
+def most_distinctive(scores: DataFrame, k: int = 10) -> DataFrame:
+    """(chunk_id, token, llr, rank): the ``k`` most distinctive terms of every record, ties by token.
+
+    The cut is made in every task before the shuffle, so a record with very many terms sends no more than ``k`` a task.
+    """
+    best = Window.partitionBy("chunk_id").orderBy(F.desc("llr"), "token")
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("chunk_id", "token", "llr", "rank")
+
+
 def rare_shared_terms(scores: DataFrame) -> DataFrame:
     """(chunk_id, token): terms with freq of 3 or more that 2 to 6 records hold, the most distinctive first.
 

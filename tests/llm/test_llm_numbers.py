@@ -41,6 +41,13 @@ def test_term_scores(spark, monkeypatch, heavy):
         assert (r.freq, r.df, r.cf) == (f, holders[t], by_term[t])
         assert r.llr == pytest.approx(_g2(f, by_row[c], by_term[t], n), abs=1e-6)
     assert td.term_scores(postings.limit(0), chunks).count() == 0
+    ranked = defaultdict(list)
+    for r in td.most_distinctive(td.term_scores(postings, chunks), 3).collect():
+        ranked[r.chunk_id].append((-r.llr, r.token))
+    full = defaultdict(list)
+    for r in td.term_scores(postings, chunks).collect():
+        full[r.chunk_id].append((-r.llr, r.token))
+    assert {k: sorted(v) for k, v in ranked.items()} == {k: sorted(v)[:3] for k, v in full.items()}
 
 
 def test_rare_terms_of_a_heavy_chunk(spark):
@@ -218,6 +225,27 @@ def test_mixture(spark):
     assert sm.mixed(docs.limit(0), targets).count() == 0 and sm.mixed(docs, targets.limit(0)).count() == 0
 
 
+def test_fit_on_group_sums_and_rows(spark):
+    """The fit meets its targets over the rows themselves; the groups it starts on are bounded."""
+    rng = np.random.default_rng(3)
+    member = rng.dirichlet([0.4, 0.4, 0.4], 3000)
+    tokens = rng.integers(1, 500, 3000)
+    groups = spark.createDataFrame([([float(v) for v in m], int(t)) for m, t in zip(member, tokens)], "member array<double>, tokens bigint")
+    assert sm.group_sums(groups, 3).count() <= 9 * sm.LEVELS**2
+    goal, repeats = tokens.sum() * np.array([0.5, 0.3, 0.2]), np.array([3.0, 3.0, 3.0])
+    moves, scale = sm.fit_rates(groups, goal, repeats)
+    got = sm._step(member, tokens.astype(float), repeats, scale, moves)
+    assert np.abs(got - goal).max() <= 2e-3 * goal.sum()
+
+
+def test_texts_of_one_id_are_one_row(spark):
+    rows = [(i, f"alpha beta {i}", "big", "py") for i in range(20)] + [(50, "alpha", None, "py"), (50, "alpha beta gamma delta", None, "go"), (50, "alpha", None, "rs")]
+    targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
+    frames = [spark.createDataFrame(r, "doc_id bigint, text string, source string, lang string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 3))]
+    one, other = (sorted(map(tuple, sm.mixed(f, targets).collect())) for f in frames)
+    assert one == other and sum(r[0] == 50 for r in one) == 1
+
+
 def test_classifier_held_out():
     rng = np.random.default_rng(0)
     words = [[f"w{c}{i}" for i in "abcdefgh"] + ["the", "of", "and"] for c in "xyz"]

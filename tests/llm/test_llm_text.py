@@ -115,13 +115,19 @@ def test_encoding_round_trip(text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab \n\tcé表1.", max_size=400), st.integers(1, 40))
+@given(st.text(alphabet="ab \n\tcé表の。、1٣.'’s\u0301\u00a0\x1c", max_size=400), st.integers(1, 40))
 def test_safe_parts(text, long):
     parts = list(ce.safe_parts(text, long))
     assert "".join(parts) == text
     assert [i for p in parts for i in ce.encode_text(p, PATH).tolist()] == ce.encode_text(text, PATH).tolist()
 
 
+def test_long_texts_of_any_script_are_cut():
+    for text in ("検索の索引を読み込む。" * 20_000, "a,b;" * 60_000, "слово" * 30 + "—" + "a1" * 100_000):
+        parts = list(ce.safe_parts(text, 1000))
+        assert "".join(parts) == text and (len(parts) > 50 or "a1" in text)
+
+
 def test_encoding_against_other_library():
     from tokenizers import Tokenizer
 
