@@ -55,7 +55,7 @@ _SIGN = re.compile("|".join(f"(?:{p})" for p in [*GENERATED_SIGNS, *VENDORED_SIG
 _BANNER = re.compile(r"^/\*!\s*\*?\s*[\w.@/-]+(?:\.js|\.css)?\s+v?\d+\.\d+", re.M)
 _SOURCE_MAP = re.compile(r"^(?://|/\*)[#@]\s*sourceMappingURL=", re.M)
 # One of these stands in every text that a sign matches; a quick test before the lexer.
-_HINT_WORDS = "generated generate_ machine auto-produced auto_produced automatically autocreated auto-created produced derived compiled emitted instead overwritten discarded undone do_not don't don’t never must_not should_not are_lost be_lost get_lost gets_lost is_lost erzeugt erstellt generier bearbeiten ändern editieren automatiquement modifier éditer automáticamente creado_por generado_por creada_por generada_por no_editar no_modificar gerado não_edit não_modif generato modificare автоматически редактир изменя 生成 編集 编辑 修改 생성 vendored upstream third-party third_party copied taken_ imported_ mirrored kopiert übernommen copié_ copiado copy_of"
+_HINT_WORDS = "generated generate_ machine auto-produced auto_produced automatically autocreated auto-created auto_created autowritten auto-written auto_written produced derived compiled emitted instead overwritten discarded undone do_not don't don’t never_edit never_modif never_change never_touch never_alter never_be_ never_hand never_manually must_not should_not are_lost be_lost get_lost gets_lost is_lost erzeugt erstellt generier bearbeiten ändern editieren automatiquement modifier éditer automáticamente creado_por generado_por creada_por generada_por no_editar no_modificar gerado não_edit não_modif generato modificare автоматически редактир изменя 生成 編集 编辑 修改 생성 vendored upstream third-party third_party copied_from copied_verbatim copied_unchanged copied_unmodified copied_over copied_as taken_ imported_ mirrored kopiert übernommen copié_ copiado copy_of"
 _HINTS = tuple(h.replace("_", " ") for h in _HINT_WORDS.split())
 _DIGITS = "0123456789,"
 _LONG_WORD = re.compile(r"[A-Za-z0-9+/=_\\-]{40}")
