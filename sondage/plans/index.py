@@ -13,7 +13,7 @@ from sondage.operators.postings import build_postings
 from sondage.operators.summary import summaries
 from sondage.sources.index_store import IndexStore
 from sondage.sources.scan import indexable, scan, with_content
-from sondage.storage import written
+from sondage.storage import passing, written
 
 
 def build_tables(files: DataFrame, embedder: Embedder) -> dict[str, DataFrame]:
@@ -50,8 +50,12 @@ def build_index(spark: SparkSession, root: str, index: str, config: Config | Non
     """
     config = config or Config()
     embedder = embedder or embedder_of(config.model)
+    with passing(spark):
+        return _build(spark, root, IndexStore(spark, index), config, embedder, force)
+
+
+def _build(spark: SparkSession, root: str, store: IndexStore, config: Config, embedder: Embedder, force: bool) -> dict[str, int]:
     model = getattr(embedder, "name", "")
-    store = IndexStore(spark, index)
     there = store.exists() and not force
     state = store.read("file_state") if there else store.empty("file_state")
     listed = indexable(scan(spark, root, config), config.max_file_size)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -21,8 +22,9 @@ def ship(spark: SparkSession) -> None:
     probe = eval(f"lambda _: __import__('importlib.util').util.find_spec({name!r}) is not None", {"__name__": "__main__"})
     if not all(context.parallelize([0], 1).map(probe).collect()):
         package = Path(__file__).resolve().parent
-        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix=f"{name}-")) / name), "zip", package.parent, package.name)
-        context.addPyFile(archive)
+        folder = tempfile.mkdtemp(prefix=f"{name}-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(str(Path(folder) / name), "zip", package.parent, package.name))
     _SHIPPED.add(context.applicationId)
 
 

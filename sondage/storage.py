@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_MADE = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at its end: for work whose result is written by then."""
+    outer, _MADE.paths = getattr(_MADE, "paths", None), []
+    try:
+        yield
+    finally:
+        made, _MADE.paths = _MADE.paths, outer
+        for path in made:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, which the driver's file system deletes when the session's JVM ends."""
+    """A new path in the shared folder, deleted at the end of ``passing``, else when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(where)
     files.deleteOnExit(where)
+    if getattr(_MADE, "paths", None) is not None:
+        _MADE.paths.append(path)
     return path
 
 

@@ -19,6 +19,7 @@ from sondage.operators.embedding import Embedder, embedder_of
 from sondage.plans.index import build_index, changed_rows
 from sondage.sources.index_store import IndexStore
 from sondage.sources.scan import entry, frame, watched, with_content
+from sondage.storage import passing
 
 #: Interval of the micro-batches.
 DEBOUNCE = "500 milliseconds"
@@ -52,9 +53,10 @@ def process_events(spark: SparkSession, events: DataFrame, index: str, embedder:
             return False
         changed = last.where("op = 'changed'").select("path")
         files = (read or _read_files)(changed)
-        state = store.read("file_state") if there else store.empty("file_state")
-        fresh, stale, paths = changed_rows(state, readable(watched(files)), last.select("path"), embedder)
-        store.append(fresh, stale, paths, embedder.dimension, getattr(embedder, "name", ""))
+        with passing(spark):
+            state = store.read("file_state") if there else store.empty("file_state")
+            fresh, stale, paths = changed_rows(state, readable(watched(files)), last.select("path"), embedder)
+            store.append(fresh, stale, paths, embedder.dimension, getattr(embedder, "name", ""))
         return True
     finally:
         last.unpersist()

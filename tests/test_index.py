@@ -1,6 +1,7 @@
 import json
 import os
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from sondage.plans.index import build_index, index_status
 from sondage.plans.search import search
 from sondage.sources.index_store import IndexStore, project_dir
 from sondage.sources.scan import scan, skipped
+from sondage.storage import shared_dir
 from sondage.streaming import watch
 
 PY = "class Box:\n    \"\"\"A box.\"\"\"\n\n    def open(self, key: str) -> bool:\n        return key == self.key\n\n\ndef close_box(box):\n    box.shut = True\n"
@@ -119,6 +121,9 @@ def test_one_changed_file_is_one_small_segment(spark, tree, tmp_path):
     new = spark.read.parquet(str(index / "segments" / "2" / "chunks"))
     assert {r.file_path.rpartition("/")[2] for r in new.collect()} == {"m3.py"} and new.count() == 3
     store = IndexStore(spark, str(index))
+    left = [p.name for p in Path(shared_dir(spark)).iterdir() if p.name.startswith(("listing", "stale", "chunks"))]
+    build_index(spark, str(tree), str(index), embedder=e)
+    assert sorted(left) == sorted(p.name for p in Path(shared_dir(spark)).iterdir() if p.name.startswith(("listing", "stale", "chunks")))
     assert store.manifest()["segments"] == [1, 2] and counts["chunks"] == store.read("chunks").count()
     assert store.meta().first().files == store.read("file_state").count() == 8
     names = {r.name for r in store.read("chunks").collect()}
