@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,12 +118,34 @@ _SCORES = f"""x AS (SELECT chunk_id, token, freq, df, freq::DOUBLE AS a, sum(fre
 t AS (SELECT sum(freq)::DOUBLE AS n FROM terms),
 scored AS (SELECT chunk_id, token, freq, df, round(CASE WHEN a * t.n >= r * c THEN 1 ELSE -1 END * 2.0 * ({_G2}), 4) + 0.0 AS llr FROM x, t)"""
 
+
+
+def _translated() -> tuple[str, str, str]:
+    """Characters that go, and those that become others, of the scripts with look-alike letters: for a plain SQL rule."""
+    gone, one, other = "", "", ""
+    for code in (*range(0xA0, 0x590), *range(0x13A0, 0x13F6), *range(0x2C80, 0x2CF4), *range(0xA4D0, 0xA4F8), *range(0x1F00, 0x2070), *range(0x2160, 0x2180), 0x3000, 0xFEFF, *range(0xFE00, 0xFE10), *range(0xFF01, 0xFF5F)):
+        ch = chr(code)
+        if unicodedata.combining(ch):
+            continue
+        seen = visual_form.one_form("x" + ch)[1:]
+        if not seen:
+            gone += ch
+        elif seen != ch and len(seen) == 1:
+            one, other = one + ch, other + seen
+    return gone, one, other
+
+
+_GONE, _FROM, _TO = (x.replace("'", "''") for x in _translated())
+_LOOK = f"nfc_normalize(translate(nfc_normalize(regexp_replace(text, '[{_GONE}]', '', 'g')), '{_FROM}', '{_TO}'))"
+
 SQL: dict[str, str] = {
     "p2_scores": f"{_CLEAN}, {_SCORES} SELECT chunk_id, token, freq, df, llr FROM scored",
     "p2_terms": f"{_CLEAN}, {_SCORES} SELECT chunk_id, token, llr, row_number() OVER (PARTITION BY chunk_id ORDER BY llr DESC, token) AS rank FROM scored QUALIFY rank <= 10",
     "p7_found": """WITH v AS (SELECT chunk_id, min(embedding) AS e FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
 u AS (SELECT chunk_id, list_transform(e, lambda x: x::DOUBLE / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])))::DOUBLE[64] AS e FROM v)
 SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM u a JOIN u b ON a.chunk_id < b.chunk_id WHERE array_inner_product(a.e, b.e) >= 0.9""",
+    "p10_found": f"""WITH f AS (SELECT DISTINCT doc_id, text, {_LOOK} AS look FROM documents WHERE doc_id IS NOT NULL AND trim(text, E' \\t\\n\\r') <> '')
+SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM f a JOIN f b USING (look) WHERE a.doc_id <> b.doc_id AND a.text <> b.text""",
     "p5_ranking": """
 WITH once AS (SELECT query_id, chunk_id, unnest([{k: 0, s: a}, {k: 1, s: b}, {k: 2, s: c}], recursive := true) FROM (SELECT query_id, chunk_id,
     max(CASE WHEN NOT isnan(text_score) THEN text_score END) AS a, max(CASE WHEN NOT isnan(semantic_score) THEN semantic_score END) AS b,
