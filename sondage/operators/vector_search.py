@@ -126,12 +126,16 @@ def in_cells(vectors: DataFrame, centroids: DataFrame, id_column: str = "chunk_i
     return source.mapInArrow(run, "cell int, chunk_id bigint, embedding array<float>")
 
 
+def _looked(cells: int, share: float) -> int:
+    return max(LEAST_PROBED, math.ceil(share * cells))
+
+
 def probes(centres: np.ndarray, query: Sequence[float], share: float = PROBED) -> list[int]:
     """The cells a query looks into: those of the nearest centroids."""
     if not len(centres) or len(query) != centres.shape[1]:
         return []
     order = np.argsort(-(centres @ np.asarray(query, np.float64)), kind="stable")
-    return [int(i) for i in order[: max(LEAST_PROBED, math.ceil(share * len(centres)))]]
+    return [int(i) for i in order[: _looked(len(centres), share)]]
 
 
 def search_cells(stored: DataFrame, centroids: DataFrame, query: Sequence[float], top_k: int = TOP_K, threshold: float = 0.0, share: float = PROBED) -> DataFrame:
@@ -141,44 +145,143 @@ def search_cells(stored: DataFrame, centroids: DataFrame, query: Sequence[float]
     return search_vector(stored.where(F.col("cell").isin(asked) if asked else F.lit(False)), query, top_k, threshold)
 
 
-#: Rows of a cell that are compared at once in a batch search; larger cells are cut by the hash of the ids.
-CELL_ROWS = 65_536
+#: Elements of the rows, and of the queries, that a task holds at once in a batch search; queries and rows that are
+#: multiplied at once, and pairs that are scored at once.
+TILE_VALUES, STEP_QUERIES, STEP_ROWS, STEP_PAIRS = 1 << 22, 512, 2048, 16_384
 
 
-def search_cells_batch(stored: DataFrame, centroids: DataFrame, queries: DataFrame, top_k: int = TOP_K, share: float = PROBED) -> DataFrame:
-    """(query_id, chunk_id, score): approximate search for any number of queries (query_id, embedding).
+def _tiles(sizes: Sequence[int], most: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """The cells (from, to) of each tile, as many as hold ``most`` rows; each cell's first tile and how many it has: a
+    cell with more rows is cut into tiles of its own."""
+    spans: list[tuple[int, int]] = []
+    first, own, free = [], [], -1
+    for cell, n in enumerate(sizes):
+        tiles = max(1, math.ceil(n / most))
+        if tiles == 1 and n <= free:
+            spans[-1], free = (spans[-1][0], cell + 1), free - n
+        else:
+            spans += [(cell, cell + 1)] * tiles
+            free = most - n if tiles == 1 else -1
+        first.append(len(spans) - tiles)
+        own.append(tiles)
+    return spans, first, own
+
+
+def _may_be_best(v: np.ndarray, ids: np.ndarray, cells: np.ndarray, top_k: int) -> np.ndarray:
+    """The rows, in order, without those that ``top_k`` equal vectors of their cell with lower ids go before."""
+    kinds = np.unique(v.view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)[1]
+    order = np.lexsort((ids, cells, kinds))
+    own = np.flatnonzero(np.r_[True, (np.diff(kinds[order]) != 0) | (np.diff(cells[order]) != 0)][: len(order)])
+    rank = np.arange(len(order)) - np.repeat(own, np.diff(np.r_[own, len(order)]))
+    return np.sort(order[rank < top_k])
+
+
+def _pair_scores(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The cosines of unit rows i of ``q`` and j of ``v``, to the last bit the same in whatever company a pair is scored."""
+    parts = [(q[i[at : at + STEP_PAIRS]] * v[j[at : at + STEP_PAIRS]]).sum(axis=1) + 0.0 for at in range(0, len(i), STEP_PAIRS)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
 
-    Queries and stored rows meet by cell, a part of a cell at a time; each part gives a query's best, and a partial top-k
-    merges them. Nothing but the centroids is broadcast.
+def _best_of_tile(q: np.ndarray, v: np.ndarray, ids: np.ndarray, ends: np.ndarray, probed: np.ndarray, top_k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, score) of each query's best rows in the cells it looks into; ties go by id.
+
+    Cell c has the rows ends[c] to ends[c + 1]. Products in single precision rule rows out, by more than their error; what
+    remains is scored in double precision.
     """
-    centres = _centres(centroids)
-    rows = stored.where("cell >= 0").count()
-    parts = max(1, math.ceil(rows / (max(len(centres), 1) * CELL_ROWS)))
+    slack = (q.shape[1] + 8) * 2.0**-23
+    q32, v32 = q.astype(np.float32), v.astype(np.float32)
+    for start in range(0, len(q), STEP_QUERIES):
+        looks = probed[start : start + STEP_QUERIES]
+        least = np.full(len(looks), -np.inf, np.float32)
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        found, waiting = [none], 0
+
+        def merged(found: list, least: np.ndarray = least) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            who, row, score = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((ids[row], -score, who))
+            who, row, score = who[order], row[order], score[order]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            last = rank == top_k - 1
+            least[who[last]] = np.maximum(least[who[last]], score[last] - slack)
+            return who[rank < top_k], row[rank < top_k], score[rank < top_k]
+
+        for cell in range(looks.shape[1]):
+            asking = np.flatnonzero(looks[:, cell])
+            for lo in range(ends[cell], ends[cell + 1] if len(asking) else 0, STEP_ROWS):
+                hi = min(lo + STEP_ROWS, ends[cell + 1])
+                s = q32[start + asking] @ v32[lo:hi].T
+                if hi - lo > top_k and len(new := np.flatnonzero(np.isneginf(least[asking]))):
+                    least[asking[new]] = np.partition(s[new], hi - lo - top_k, axis=1)[:, hi - lo - top_k] - 2 * slack
+                i, j = np.divmod(np.flatnonzero(s >= least[asking][:, None]), hi - lo)
+                i, j = asking[i], lo + j
+                found.append((i, j, _pair_scores(q[start : start + STEP_QUERIES], v, i, j)))
+                waiting += len(i)
+                if waiting > top_k * len(looks):
+                    found, waiting = [merged(found)], 0
+        who, row, score = merged(found)
+        yield start + who, ids[row], score
 
-    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [probes(centres, v, share) if v and None not in v else [] for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["query_id", "embedding", "cells"])
 
-    asked = queries.select("query_id", "embedding").mapInArrow(to_cells, "query_id bigint, embedding array<float>, cells array<int>")
-    asked = asked.select("query_id", "embedding", F.explode("cells").alias("cell")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    held = stored.where("cell >= 0").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
+def search_cells_batch(stored: DataFrame, centroids: DataFrame, queries: DataFrame, top_k: int = TOP_K, share: float = PROBED) -> DataFrame:
+    """(query_id, chunk_id, score): approximate search for any number of queries (query_id, embedding); exact, over all
+    rows that are in a cell, with a ``share`` of 1.
 
-    def compare(one: pa.Table, other: pa.Table) -> pa.Table:
+    Queries and stored rows meet by tile: some cells, or a part of a large one, and as many queries as a task holds. Each
+    tile gives a query's best in the cells it looks into, and a partial top-k merges them. A query is sent once to a tile,
+    a row once for every part of the queries. Nothing but the centroids is broadcast. Equal vectors have equal scores in
+    every tile and at every share, so ties go by id.
+    """
+    shape = "query_id bigint, chunk_id bigint, score double"
+    centres = _centres(centroids)
+    count, dim = centres.shape
+    held = stored.where(F.col("cell").between(0, count - 1) & F.col("chunk_id").isNotNull()).select("cell", "chunk_id", "embedding")
+    sizes = dict(held.groupBy("cell").count().collect())
+    if not sizes or top_k < 1:
+        return stored.sparkSession.createDataFrame([], shape)
+    most = max(STEP_ROWS, TILE_VALUES // dim)
+    spans, first, own = _tiles([sizes.get(c, 0) for c in range(count)], most)
+    parts = max(1, math.ceil(queries.count() / most))
+    looked = _looked(count, share)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, fits = _matrix(b.column(1), dim)
+            for at in range(0, len(q), STEP_QUERIES):
+                near = np.argsort(-(q[at : at + STEP_QUERIES] @ centres.T), axis=1, kind="stable")[:, :looked]
+                probed = np.zeros((len(near), count), bool)
+                np.put_along_axis(probed, near, True, axis=1)
+                for tile, (lo, hi) in enumerate(spans):
+                    here = np.flatnonzero(probed[:, lo:hi].any(axis=1))
+                    rows = pa.array(fits[at + here])
+                    bits = [x.tobytes() for x in np.packbits(probed[here, lo:hi], axis=1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), tile, np.int32)), b.column(0).take(rows), b.column(1).take(rows), pa.array(bits, pa.binary())], names=["tile", "query_id", "embedding", "cells"])
+
+    def part(of: str) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(parts)).cast("int").alias("part")
+
+    asked = queries.where("query_id is not null").select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    asked = asked.mapInArrow(sent, "tile int, query_id bigint, embedding array<float>, cells binary").select("*", part("query_id"))
+    of_cell = [F.expr(f"element_at(array({','.join(map(str, x))}), cell + 1)") for x in (first, own)]
+    held = held.withColumn("tile", (of_cell[0] + F.pmod(F.xxhash64("chunk_id"), of_cell[1])).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def compare(key: tuple[pa.Scalar, ...], one: pa.Table, other: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
         if not one.num_rows or not other.num_rows:
             return schema.empty_table()
-        q, which = _matrix(one.column("embedding").combine_chunks(), centres.shape[1])
-        v, held_at = _matrix(other.column("embedding").combine_chunks(), centres.shape[1])
-        names, ids = one.column("query_id").to_numpy()[which], other.column("chunk_id").to_numpy()[held_at]
-        out = []
-        for at in range(0, len(q), 256):
-            s = q[at : at + 256] @ v.T
-            best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :top_k]
-            out.append((np.repeat(names[at : at + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema) if out else schema.empty_table()
-
-    met = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(compare, "query_id bigint, chunk_id bigint, score double")
+        lo, hi = spans[key[0].as_py()]
+        q, which = _matrix(one.column("embedding").combine_chunks(), dim)
+        bits = np.frombuffer(b"".join(one.column("cells").to_pylist()), np.uint8).reshape(one.num_rows, -1)
+        probed = np.unpackbits(bits, axis=1, count=hi - lo)[which].astype(bool)
+        names = one.column("query_id").to_numpy()[which]
+        other = other.sort_by("cell")
+        v, at = _matrix(other.column("embedding").combine_chunks(), dim)
+        ids, cells = other.column("chunk_id").to_numpy()[at], other.column("cell").to_numpy()[at]
+        keep = _may_be_best(v, ids, cells, top_k)
+        ends = np.searchsorted(cells[keep], np.arange(lo, hi + 1))
+        found = [(names[i], best, s) for i, best, s in _best_of_tile(q, v[keep], ids[keep], ends, probed, top_k)]
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found)], schema=schema) if found else schema.empty_table()
+
+    met = asked.groupBy("tile", "part").cogroup(held.groupBy("tile", "part")).applyInArrow(compare, shape)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top_k).drop("r")
 

@@ -103,11 +103,11 @@ def knn_cells(spark: SparkSession, d: str) -> DataFrame:
 
 def knn_recall(spark: SparkSession, d: str) -> DataFrame:
     """Whether the approximate search finds nine of ten of the ten nearest of every fiftieth vector, against all rows."""
-    vectors = _vectors(spark, d).where(F.size("embedding") == 64).dropDuplicates(["chunk_id"])
+    vectors = _vectors(spark, d).where(F.size("embedding") == 64)
     centroids = written(vector_search.fit_cells(vectors), "centroids")
-    stored = written(vector_search.in_cells(vectors, centroids), "cells").where("cell >= 0")
+    stored = written(vector_search.in_cells(vectors.dropDuplicates(["chunk_id"]), centroids), "cells").where("cell >= 0")
     queries = stored.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    exact = vector_search.search_vectors(stored, queries, 10)
+    exact = vector_search.search_cells_batch(stored, centroids, queries, 10, share=1.0)
     found = vector_search.search_cells_batch(stored, centroids, queries, 10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
     return exact.join(found, ["query_id", "chunk_id"], "left").agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
 

@@ -2,8 +2,12 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from sondage.operators.vector_search import MOST_QUERIES
 from sondage.queries import QUERIES, SQL
 
 
@@ -38,3 +42,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_recall_of_more_queries_than_are_sent_to_all_tasks(spark, tmp_path):
+    n = MOST_QUERIES + 100
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((60, 64))[rng.integers(0, 60, n)] + rng.standard_normal((n, 64)) * 0.3).astype(np.float32)
+    rows = pa.table({"chunk_id": pa.array(np.arange(n) * 50), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))})
+    pq.write_table(pa.concat_tables([rows, rows.slice(0, 50)]), tmp_path / "vectors.parquet")
+    assert [r.enough for r in QUERIES["knn_recall"](spark, str(tmp_path)).collect()] == [True]

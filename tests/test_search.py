@@ -183,3 +183,36 @@ def test_quick_test_of_whole_texts(spark):
             if hit := [n for n, line in enumerate(lines) if java.search(line)]:
                 want[i] = hit
         assert {r.chunk_id: r.matched_lines for r in text_search.regex_search(df, rx).collect()} == want, rx
+
+
+def test_cells_batch_at_full_share_is_exact(spark, monkeypatch):
+    """Tiles of 64 rows and parts of 64 queries at most; ties across tiles, repeated vectors and rows without a direction."""
+    monkeypatch.setattr(vector_search, "STEP_ROWS", 64)
+    monkeypatch.setattr(vector_search, "TILE_VALUES", 1)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((350, 8)), np.tile(rng.standard_normal((30, 8)), (5, 1)), np.tile(rng.standard_normal(8), (100, 1))]).astype(np.float32)
+    ids = rng.permutation(len(x))
+    odd = [(None, [1.0] * 8), (900, None), (901, [0.0] * 8), (902, [1.0]), (903, [float("nan")] * 8)]
+    v = spark.createDataFrame([(int(i), [float(a) for a in x[k]]) for k, i in enumerate(ids)] + odd, "chunk_id bigint, embedding array<float>")
+    centroids = vector_search.fit_cells(v)
+    stored = vector_search.in_cells(v, centroids).cache()
+    q = v.withColumnRenamed("chunk_id", "query_id")
+    got = {}
+    for r in vector_search.search_cells_batch(stored, centroids, q, 10, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.chunk_id))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    scores = np.array([[math.fsum(a * b) for b in unit] for a in unit])
+    assert len(got) == len(x)
+    for k, i in enumerate(ids):
+        best = np.lexsort((ids, -scores[k].round(12)))[:10]
+        assert [c for _, c in sorted(got[i])] == ids[best].tolist()
+        assert np.allclose([-s for s, _ in sorted(got[i])], scores[k][best], rtol=0, atol=1e-12)
+    for some, asked, k in ((stored.limit(0), q, 10), (stored, q.limit(0), 10), (stored, q, 0)):
+        assert vector_search.search_cells_batch(some, centroids, asked, k).count() == 0
+    every = {(r.query_id, r.chunk_id): r.score for r in vector_search.search_cells_batch(stored, centroids, q, 600, share=1.0).collect()}
+    near = vector_search.search_cells_batch(stored, centroids, q, 10).collect()
+    assert len(every) == len(x) ** 2 and near and all(every[r.query_id, r.chunk_id] == r.score for r in near)
+
+
+def test_tiles():
+    assert vector_search._tiles([3, 0, 7, 25, 4, 6, 1], 10) == ([(0, 3), (3, 4), (3, 4), (3, 4), (4, 6), (6, 7)], [0, 0, 0, 1, 4, 4, 5], [1, 1, 1, 3, 1, 1, 1])
